@@ -1,0 +1,104 @@
+"""BM25 over an inverted index that is built and scored as joins.
+
+The corpus is tokenised once.  A sentinel term with one posting per document
+carries document count and mean length through the same shuffle, so the index,
+its statistics and the scores share one exchange.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from colloquy.functions.text import tokens
+from colloquy.operators.ranking import by_score, top_k
+
+# Fixed values.
+K1 = 1.5
+B = 0.75
+SENTINEL = ""
+
+
+def question_terms(queries: DataFrame, text: str = "text", keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Distinct terms per question."""
+    return queries.select(*keys, F.explode(F.array_distinct(tokens(text))).alias("term"))
+
+
+def postings(corpus: DataFrame, node: str, text: str, scope: tuple[str, ...] = (), vocabulary: DataFrame | None = None) -> DataFrame:
+    """``(scope, node, dl, term, tf)`` with the sentinel posting per document.
+
+    With a vocabulary, other terms are dropped before the shuffle.  Counting is
+    combined inside the task that holds the document, so only distinct pairs move.
+    """
+    words = corpus.select(*scope, F.col(node).alias("node_id"), tokens(text).alias("_t"))
+    flat = words.select(
+        *scope,
+        "node_id",
+        F.size("_t").alias("dl"),
+        F.explode(F.concat("_t", F.array(F.lit(SENTINEL)))).alias("term"),
+    )
+    if vocabulary is not None:
+        wanted = vocabulary.select("term").union(vocabulary.sparkSession.range(1).select(F.lit(SENTINEL))).distinct()
+        flat = flat.join(wanted, "term", "left_semi")
+    return flat.groupBy(*scope, "node_id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def group_postings(corpus: DataFrame, group: str, text: str, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Postings of a collection layer: every group is one document.
+
+    Equal to indexing the concatenated member texts, but the texts are never
+    joined up, so a group may hold any share of the corpus.
+    """
+    words = corpus.select(F.col(group).alias("node_id"), tokens(text).alias("_t"))
+    flat = words.select("node_id", F.size("_t").alias("_n"), F.explode(F.concat("_t", F.array(F.lit(SENTINEL)))).alias("term"))
+    if vocabulary is not None:
+        wanted = vocabulary.select("term").union(vocabulary.sparkSession.range(1).select(F.lit(SENTINEL))).distinct()
+        flat = flat.join(wanted, "term", "left_semi")
+    counts = flat.groupBy("node_id", "term").agg(F.count("*").alias("tf"), F.sum("_n").alias("_len"))
+    lengths = counts.select("node_id", F.when(F.col("term") == SENTINEL, F.col("_len")).alias("dl")).filter("dl IS NOT NULL")
+    tf = F.when(F.col("term") == SENTINEL, F.lit(1)).otherwise(F.col("tf")).cast("bigint")
+    return counts.join(lengths, "node_id").select("node_id", "dl", "term", tf.alias("tf"))
+
+
+def term_stats(index: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """``(scope, term, df, n_docs, avgdl, idf)``; one row per indexed term."""
+    per_term = index.groupBy(*scope, "term").agg(
+        F.sum((F.col("tf") > 0).cast("int")).alias("df"),
+        F.avg("dl").alias("_dl"),
+    )
+    group = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))
+    sentinel = F.col("term") == SENTINEL
+    stats = per_term.withColumn("n_docs", F.max(F.when(sentinel, F.col("df"))).over(group)).withColumn(
+        "avgdl", F.max(F.when(sentinel, F.col("_dl"))).over(group)
+    )
+    idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return stats.filter(~sentinel).drop("_dl").withColumn("idf", idf)
+
+
+def score(index: DataFrame, terms: DataFrame, scope: tuple[str, ...] = (), keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """``(scope, keys, node_id, score)`` for every pair that shares a term.
+
+    The joined side is one row per question term; adaptive execution splits the
+    postings of a term that most documents contain.
+    """
+    weights = terms.join(term_stats(index, scope), [*scope, "term"]).select(*scope, *keys, "term", "idf", "avgdl")
+    tf = F.col("tf").cast("double")
+    length = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-6)))
+    hit = F.col("idf") * tf * (K1 + 1.0) / (tf + length)
+    return index.join(weights, [*scope, "term"]).groupBy(*scope, *keys, "node_id").agg(F.sum(hit).alias("score")).filter("score > 0")
+
+
+def bm25_topk(
+    corpus: DataFrame,
+    queries: DataFrame,
+    k: int = 30,
+    node: str = "node_id",
+    text: str = "text",
+    query_text: str = "text",
+    scope: tuple[str, ...] = (),
+    keys: tuple[str, ...] = ("query_id",),
+) -> DataFrame:
+    """Best ``k`` documents per question (and scope, when statistics are per case)."""
+    terms = question_terms(queries, query_text, (*scope, *keys))
+    index = postings(corpus, node, text, scope, terms)
+    scored = score(index, terms, scope, keys)
+    return top_k(scored, [*scope, *keys], by_score("score", "node_id"), k)
