@@ -319,8 +319,8 @@ def card_memory_expansion(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {_QIMG}, labs AS (SELECT e.label, d.text FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
 sets AS (SELECT label, string_agg(text, ' ') AS text FROM labs GROUP BY label),
 {bm25_sql("tb", "sets", "label", "text", "benchmark", "item_id", "text", 1000000)},
-m AS (SELECT q.item_id, e.label, round(list_dot_product(CAST(q.vec AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS s, e.vec_id FROM qimg q, embeddings e),
-top2 AS (SELECT item_id, label, avg(s) AS v FROM (SELECT *, row_number() OVER (PARTITION BY item_id, label ORDER BY s DESC, vec_id) AS n FROM m) WHERE n <= 2 GROUP BY 1, 2),
+m AS (SELECT q.item_id, e.label, list_dot_product(CAST(q.vec AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s, e.vec_id FROM qimg q, embeddings e),
+top2 AS (SELECT item_id, label, avg(s) AS v FROM (SELECT *, row_number() OVER (PARTITION BY item_id, label ORDER BY round(s, 9) DESC, vec_id) AS n FROM m) WHERE n <= 2 GROUP BY 1, 2),
 nt AS (SELECT qid, count(*) AS n FROM tb GROUP BY qid),
 j AS (SELECT t.item_id, t.label, v, 9e-1 * v + 1e-1 / (60 + coalesce(b.rank, coalesce(n.n, 0) + 1)) AS score FROM top2 t
   LEFT JOIN tb b ON b.qid = t.item_id AND b.node = t.label LEFT JOIN nt n ON n.qid = t.item_id)

@@ -32,16 +32,16 @@ def hashed_sql(name: str, corpus: str, node: str, text: str) -> str:
 def dense_sql(name: str, corpus: str, queries: str, k: int) -> str:
     """CTEs ending in ``name(qid, node, score, rank)`` from two hashed relations."""
     return f"""
-{name}_s AS (SELECT q.node AS qid, d.node, round(sum(q.w * d.w), 9) AS score FROM {queries} q JOIN {corpus} d USING (b) GROUP BY q.node, d.node),
-{name} AS (SELECT * FROM (SELECT qid, node, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) AS INTEGER) AS rank
+{name}_s AS (SELECT q.node AS qid, d.node, sum(q.w * d.w) AS score FROM {queries} q JOIN {corpus} d USING (b) GROUP BY q.node, d.node),
+{name} AS (SELECT * FROM (SELECT qid, node, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, node) AS INTEGER) AS rank
   FROM {name}_s) WHERE rank <= {k})"""
 
 
 def vector_topk_sql(name: str, corpus: str, node: str, vec: str, queries: str, qid: str, qvec: str, k: int, extra: str = "") -> str:
     return f"""
-{name}_s AS (SELECT q.{qid} AS qid, d.{node} AS node, {extra} round(list_dot_product(CAST(q.{qvec} AS DOUBLE[]), CAST(d.{vec} AS DOUBLE[])), 9) AS score
+{name}_s AS (SELECT q.{qid} AS qid, d.{node} AS node, {extra} list_dot_product(CAST(q.{qvec} AS DOUBLE[]), CAST(d.{vec} AS DOUBLE[])) AS score
   FROM {queries} q, {corpus} d),
-{name} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) AS INTEGER) AS rank FROM {name}_s) WHERE rank <= {k})"""
+{name} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, node) AS INTEGER) AS rank FROM {name}_s) WHERE rank <= {k})"""
 
 
 def rrf_sql(name: str, source: str, k: int | None = None) -> str:

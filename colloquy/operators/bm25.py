@@ -1,21 +1,29 @@
-"""BM25 over an inverted index that is built and scored as joins.
+"""BM25 as a scan with in-task top-k, or as joins over an inverted index.
 
-The corpus is tokenised once.  A sentinel term with one posting per document
-carries document count and mean length through the same shuffle, so the index,
-its statistics and the scores share one exchange.
+In the index a sentinel term with one posting per document carries document
+count and mean length through the same shuffle, so the postings, their
+statistics and the scores share one exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from colloquy.functions.text import tokens
+from colloquy.operators.local_topk import SCORE_BLOCK, LocalTopK
 from colloquy.operators.ranking import by_score, top_k
 
 # Fixed values.
 K1 = 1.5
 B = 0.75
 SENTINEL = ""
+# Most question terms that travel to the tasks (tens of megabytes).
+SCAN_TERMS = 1_000_000
 
 
 def question_terms(queries: DataFrame, text: str = "text", keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -60,18 +68,20 @@ def group_postings(corpus: DataFrame, group: str, text: str, vocabulary: DataFra
 
 
 def term_stats(index: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
-    """``(scope, term, df, n_docs, avgdl, idf)``; one row per indexed term."""
-    per_term = index.groupBy(*scope, "term").agg(
-        F.sum((F.col("tf") > 0).cast("int")).alias("df"),
-        F.avg("dl").alias("_dl"),
-    )
-    group = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))
+    """``(scope, term, df, n_docs, avgdl, idf)``; the sentinel row stays in.
+
+    Both aggregates read ``tf``, so they share the exchange of the index.
+    """
     sentinel = F.col("term") == SENTINEL
-    stats = per_term.withColumn("n_docs", F.max(F.when(sentinel, F.col("df"))).over(group)).withColumn(
-        "avgdl", F.max(F.when(sentinel, F.col("_dl"))).over(group)
-    )
-    idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return stats.filter(~sentinel).drop("_dl").withColumn("idf", idf)
+    per_term = index.groupBy(*scope, "term").agg(F.sum((F.col("tf") > 0).cast("int")).alias("df"))
+    n, mean = F.sum(F.when(sentinel, F.col("tf"))), F.avg(F.when(sentinel, F.col("dl")))
+    if scope:
+        totals = index.groupBy(*scope).agg(n.alias("n_docs"), mean.alias("avgdl"))
+        stats = per_term.join(totals, list(scope))
+    else:
+        totals = index.agg(F.struct(n.alias("n_docs"), mean.alias("avgdl"))).scalar()
+        stats = per_term.withColumn("_t", totals).select("term", "df", "_t.n_docs", "_t.avgdl")
+    return stats.withColumn("idf", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
 def score(index: DataFrame, terms: DataFrame, scope: tuple[str, ...] = (), keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -87,6 +97,82 @@ def score(index: DataFrame, terms: DataFrame, scope: tuple[str, ...] = (), keys:
     return index.join(weights, [*scope, "term"]).groupBy(*scope, *keys, "node_id").agg(F.sum(hit).alias("score")).filter("score > 0")
 
 
+class Weights:
+    """Question terms with their statistics, in the layout the scan reads."""
+
+    def __init__(self, terms: pa.Table, stats: pa.Table, keys: tuple[str, ...]):
+        totals = {t: (n, length) for t, n, length in zip(*(stats.column(c).to_pylist() for c in ("term", "df", "length")))}
+        self.n_docs, length = totals.pop(SENTINEL, (0, 0))
+        self.avgdl = max(length / self.n_docs if self.n_docs else 1.0, 1e-6)
+        vocabulary = sorted(totals)
+        df = np.array([totals[t][0] for t in vocabulary], dtype=np.float64)
+        self.idf = np.log(1.0 + (self.n_docs - df + 0.5) / (df + 0.5))
+        self.vocabulary = pa.array(vocabulary, pa.string())
+        names = list(zip(*(terms.column(c).to_pylist() for c in keys)))
+        self.names = sorted(set(names))
+        index = {name: j for j, name in enumerate(self.names)}
+        code = {t: c for c, t in enumerate(vocabulary)}
+        pairs = sorted((code[t], index[n]) for t, n in zip(terms.column("term").to_pylist(), names) if t in code)
+        flat = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        self.start = np.searchsorted(flat[:, 0], np.arange(len(vocabulary) + 1))
+        self.question = flat[:, 1]
+
+    def scores(self, lists: pa.ListArray) -> np.ndarray:
+        """(documents x questions) BM25 for one block of token lists."""
+        n, v, m = len(lists), len(self.vocabulary), len(self.names)
+        dl = np.diff(lists.offsets.to_numpy())
+        codes = pc.fill_null(pc.index_in(lists.flatten(), value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(n), dl)
+        known = codes >= 0
+        cell, tf = np.unique(rows[known] * max(v, 1) + codes[known], return_counts=True)
+        row, term = np.divmod(cell, max(v, 1))
+        hit = self.idf[term] * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dl[row] / self.avgdl))
+        times = self.start[term + 1] - self.start[term]
+        first = np.repeat(self.start[term] - np.cumsum(times) + times, times)
+        asked = self.question[first + np.arange(times.sum())]
+        return np.bincount(np.repeat(row, times) * m + asked, weights=np.repeat(hit, times), minlength=n * m).reshape(n, m)
+
+
+def corpus_stats(corpus: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
+    """``(term, df, length)`` of the wanted terms; the sentinel row is the corpus."""
+    words = corpus.select(tokens(text).alias("_t"))
+    flat = words.select(F.size("_t").alias("_n"), F.explode(F.concat(F.array_distinct("_t"), F.array(F.lit(SENTINEL)))).alias("term"))
+    wanted = vocabulary.select("term").union(vocabulary.sparkSession.range(1).select(F.lit(SENTINEL))).distinct()
+    return flat.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("_n").alias("length"))
+
+
+def scan_topk(corpus: DataFrame, terms: DataFrame, k: int, node: str, text: str, keys: tuple[str, ...]) -> DataFrame:
+    """Two passes over the corpus and no shuffle of tokens or pair scores.
+
+    The first pass counts documents per question term; the second scores whole
+    documents inside the task and passes on local winners only.
+    """
+    spark = corpus.sparkSession
+    types = dict(terms.dtypes)
+    node_type = dict(corpus.dtypes)[node]
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + f", node_id {node_type}, score double"
+    weights = Weights(terms.toArrow(), corpus_stats(corpus, text, terms).toArrow(), keys)
+    if not weights.names:
+        return spark.createDataFrame([], schema + ", rank int")
+    shipped = spark.sparkContext.broadcast(weights)
+    name_types = [types[c] for c in keys]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shipped.value
+        best = LocalTopK(w.names, name_types, node_type, k)
+        step = max(1, SCORE_BLOCK // len(w.names))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                best.offer(w.scores(pa.concat_arrays([part.column(1)])), part.column(0).to_numpy(zero_copy_only=False), positive=True)
+        out = best.batch(list(keys))
+        if out is not None:
+            yield out
+
+    found = corpus.select(F.col(node).alias("node_id"), tokens(text).alias("_t")).mapInArrow(task, schema)
+    return top_k(found, list(keys), by_score("score", "node_id"), k)
+
+
 def bm25_topk(
     corpus: DataFrame,
     queries: DataFrame,
@@ -97,8 +183,15 @@ def bm25_topk(
     scope: tuple[str, ...] = (),
     keys: tuple[str, ...] = ("query_id",),
 ) -> DataFrame:
-    """Best ``k`` documents per question (and scope, when statistics are per case)."""
+    """Best ``k`` documents per question (and scope, when statistics are per case).
+
+    Question terms are counted first: up to ``SCAN_TERMS`` of them the corpus is
+    scanned with the terms at hand, beyond that (or per scope) the inverted index
+    is joined.
+    """
     terms = question_terms(queries, query_text, (*scope, *keys))
+    if not scope and terms.count() <= SCAN_TERMS:
+        return scan_topk(corpus, terms, k, node, text, keys)
     index = postings(corpus, node, text, scope, terms)
     scored = score(index, terms, scope, keys)
     return top_k(scored, [*scope, *keys], by_score("score", "node_id"), k)

@@ -13,12 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.operators.ranking import SCORE_DIGITS, by_score, top_k
+from colloquy.operators.local_topk import ARROW, SCORE_BLOCK, LocalTopK
+from colloquy.operators.ranking import by_score, top_k
 
 CHUNK_BYTES = 64 << 20
 CHUNK_QUERIES = 4096
-SCORE_BLOCK = 4 << 20
-ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 
 def matrix(column) -> np.ndarray:
@@ -34,60 +33,23 @@ def unit_rows(m: np.ndarray, floor: float = 1e-12) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), floor)
 
 
-def _keep(q: np.ndarray, s: np.ndarray, ids: np.ndarray, g: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the best ``k`` entries per (question, group)."""
-    order = np.lexsort((ids, -s, g, q))
-    qs, gs = q[order], g[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (qs[1:] != qs[:-1]) | (gs[1:] != gs[:-1])
-    starts = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return order[np.arange(len(order)) - starts < k]
-
-
-def _scan(queries: np.ndarray, names: list, k: int, types: list[str]):
+def _scan(queries: np.ndarray, best: LocalTopK):
     """Task function: batches of (node_id, vec[, grp]) to local winners."""
-    grouped = len(types) > 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_q = np.zeros(0, dtype=np.int64)
-        best_s = np.zeros(0)
-        best_id: np.ndarray | None = None
-        best_g: np.ndarray | None = None
+        step = max(1, SCORE_BLOCK // len(queries))
         for batch in batches:
-            step = max(1, SCORE_BLOCK // len(queries))
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                scores = np.round(matrix(part.column(1)) @ queries.T, SCORE_DIGITS)
-                n, m = scores.shape
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                groups = part.column(2).to_numpy(zero_copy_only=False) if grouped else np.zeros(n, dtype=object)
-                if not grouped and n > k:
-                    floor = np.partition(scores, n - k, axis=0)[n - k]
-                    rows, cols = np.nonzero(scores >= floor)
-                else:
-                    rows, cols = np.divmod(np.arange(n * m), m)
-                q = np.concatenate([best_q, cols])
-                s = np.concatenate([best_s, scores[rows, cols]])
-                i = ids[rows] if best_id is None else np.concatenate([best_id, ids[rows]])
-                g = groups[rows] if best_g is None else np.concatenate([best_g, groups[rows]])
-                keep = _keep(q, s, _sortable(i), _sortable(g), k)
-                best_q, best_s, best_id, best_g = q[keep], s[keep], i[keep], g[keep]
-        if len(best_q):
-            columns = [pa.array([names[j] for j in best_q], ARROW[types[0]]), pa.array(best_id.tolist(), ARROW[types[1]]), pa.array(best_s)]
-            fields = ["query_id", "node_id", "score"]
-            if grouped:
-                columns.append(pa.array(best_g.tolist(), ARROW[types[2]]))
-                fields.append("grp")
-            yield pa.RecordBatch.from_arrays(columns, names=fields)
+                groups = part.column(2).to_numpy(zero_copy_only=False) if best.group_type else None
+                best.offer(matrix(part.column(1)) @ queries.T, part.column(0).to_numpy(zero_copy_only=False), groups)
+        out = best.batch(["query_id"])
+        if out is not None:
+            yield out
 
     return run
 
 
-def _sortable(values: np.ndarray) -> np.ndarray:
-    """Codes that sort like the values, which may be strings or integers."""
-    return np.unique(values, return_inverse=True)[1] if len(values) else np.zeros(0, dtype=np.int64)
-
-
 def query_chunks(queries: DataFrame, qid: str, vec: str) -> Iterator[tuple[list, np.ndarray]]:
     """Question vectors in driver-side chunks of bounded size and count."""
     size = queries.agg(F.count("*").alias("n"), F.max(F.size(vec)).alias("d")).first()
@@ -116,7 +78,6 @@ def dense_topk(
     source = corpus.select(*columns)
     types = dict(source.dtypes)
     qtype = dict(queries.dtypes)[qid]
-    kinds = [qtype, types["node_id"]] + ([types["grp"]] if group else [])
     schema = f"query_id {qtype}, node_id {types['node_id']}, score double" + (f", grp {types['grp']}" if group else "")
     passes = []
     for names, block in query_chunks(queries, qid, query_vec):
@@ -124,7 +85,8 @@ def dense_topk(
 
         def task(batches, shipped=shipped):
             names, block = shipped.value
-            return _scan(block, names, k, kinds)(batches)
+            best = LocalTopK([(n,) for n in names], [qtype], types["node_id"], k, types.get("grp"))
+            return _scan(block, best)(batches)
 
         passes.append(source.mapInArrow(task, schema))
     if not passes:

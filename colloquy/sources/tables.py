@@ -24,12 +24,21 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share when a table has fewer files than there are cores.
+
+    A table with many files is returned as it is, so nothing moves at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "benchmark", "item_id", "text")
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return table(spark, folder, "documents", *(columns or ("doc_id", "text")))
+    return spread(table(spark, folder, "documents", *(columns or ("doc_id", "text"))))
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
