@@ -65,15 +65,19 @@ def rrf_dedup(ranked: DataFrame, keys: tuple[str, ...] = ("query_id",), node: st
     return top_k(fused, list(keys), by_score("score", node), k)
 
 
-def consensus(collections: DataFrame, evidence: DataFrame, keys: tuple[str, ...] = ("query_id",), weight: float = 0.25, max_hits: int = 8) -> DataFrame:
+def consensus(
+    collections: DataFrame, members: DataFrame, evidence: DataFrame, keys: tuple[str, ...] = ("query_id",), weight: float = 0.25, max_hits: int = 8
+) -> DataFrame:
     """Re-rank collections by the lower-layer rows that cite the same turns.
 
-    ``collections(keys, node_id, rank, score, ref)`` and ``evidence(keys, rank,
-    ref)`` carry one reference per row, so overlap is an equi-join.
+    ``collections(keys, node_id, rank, score)``, ``members(node_id, ref)`` and
+    ``evidence(keys, rank, ref)``.  Overlap starts from the evidence, which is
+    short, so a collection with very many turns is never unrolled per question.
     """
     overlap = (
-        collections.select(*keys, "node_id", "ref")
-        .join(evidence.select(*keys, F.col("rank").alias("hit"), "ref"), [*keys, "ref"])
+        evidence.select(*keys, F.col("rank").alias("hit"), "ref")
+        .join(members.select("node_id", "ref"), "ref")
+        .join(collections.select(*keys, "node_id"), [*keys, "node_id"], "left_semi")
         .select(*keys, "node_id", "hit")
         .distinct()
     )
@@ -82,7 +86,7 @@ def consensus(collections: DataFrame, evidence: DataFrame, keys: tuple[str, ...]
         F.aggregate(F.array_sort(F.collect_list("hit")), F.lit(0.0), lambda s, h: s + F.lit(1.0) / (RRF_K + h)).alias("support"),
         F.count("*").alias("support_hits"),
     )
-    base = collections.select(*keys, "node_id", F.col("rank").alias("base_rank"), F.col("score").alias("base_score")).distinct()
+    base = collections.select(*keys, "node_id", F.col("rank").alias("base_rank"), F.col("score").alias("base_score"))
     scored = base.join(support, [*keys, "node_id"], "left").fillna({"support": 0.0, "support_hits": 0})
     scored = scored.withColumn("score", F.col("base_score") + F.lit(weight) * F.col("support"))
     order = Window.partitionBy(*keys).orderBy(*by_score("score", "base_rank"))
