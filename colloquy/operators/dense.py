@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy.operators.local_topk import ARROW, SCORE_BLOCK, LocalTopK
-from colloquy.operators.ranking import by_score, top_k
+from colloquy.operators.ranking import SCORE_DIGITS, by_score, top_k
 
 CHUNK_BYTES = 64 << 20
 CHUNK_QUERIES = 4096
@@ -98,6 +98,51 @@ def dense_topk(
     return top_k(merged, keys, by_score("score", "node_id"), k)
 
 
+def nearest_queries(
+    corpus: DataFrame, queries: DataFrame, k: int, node: str = "node_id", vec: str = "vec", qid: str = "query_id", query_vec: str = "vec"
+) -> DataFrame:
+    """The ``k`` nearest question vectors of every corpus row, without a shuffle.
+
+    With several question chunks the per-chunk winners are merged per row.
+    """
+    spark = corpus.sparkSession
+    source = corpus.select(F.col(node).alias("node_id"), F.col(vec).alias("vec"))
+    ntype, qtype = dict(source.dtypes)["node_id"], dict(queries.dtypes)[qid]
+    schema = f"node_id {ntype}, query_id {qtype}, score double, rank int"
+    passes = []
+    for names, block in query_chunks(queries, qid, query_vec):
+        order = np.argsort(np.array(names))
+        shipped = spark.sparkContext.broadcast(([names[j] for j in order], block[order]))
+
+        def task(batches, shipped=shipped):
+            names, block = shipped.value
+            wanted = min(k, len(names))
+            for batch in batches:
+                step = max(1, SCORE_BLOCK // len(names))
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
+                    scores = matrix(part.column(1)) @ block.T
+                    # Names are sorted, so a stable sort settles ties by name.
+                    best = np.argsort(-np.round(scores, SCORE_DIGITS), axis=1, kind="stable")[:, :wanted]
+                    rows = np.repeat(np.arange(len(scores)), wanted)
+                    cols = best.ravel()
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(rows)), pa.array([names[j] for j in cols], ARROW[qtype]), pa.array(scores[rows, cols]),
+                         pa.array(np.tile(np.arange(1, wanted + 1, dtype=np.int32), len(scores)))],
+                        names=["node_id", "query_id", "score", "rank"],
+                    )
+
+        passes.append(source.mapInArrow(task, schema))
+    if not passes:
+        return spark.createDataFrame([], schema)
+    if len(passes) == 1:
+        return passes[0]
+    merged = passes[0]
+    for extra in passes[1:]:
+        merged = merged.unionAll(extra)
+    return top_k(merged.drop("rank"), ["node_id"], by_score("score", "query_id"), k)
+
+
 def mean_vectors(vectors: DataFrame, key: str, vec: str) -> DataFrame:
     """Normalised mean vector per key.
 
