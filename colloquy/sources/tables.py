@@ -42,7 +42,11 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "conversations")
+    return turns_of(table(spark, folder, "conversations"))
+
+
+def turns_of(c: DataFrame) -> DataFrame:
+    """Raw turns from conversation rows, batch or stream."""
     session = F.concat(F.lit("S"), F.col("conv_id").cast("string"))
     person = F.format_string("P%02d", F.pmod("conv_id", F.lit(PERSONS)))
     ref = unified_turn_id(session, F.col("turn"))
