@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from colloquy.session import cut_lineage
+
 # Scores are compared after rounding so that the order in which a distributed
 # sum adds its terms can never swap two rows.
 SCORE_DIGITS = 9
@@ -52,3 +54,20 @@ def _blocked(df: DataFrame, keys: list[str], order: list[Column], pos: str, tota
         .withColumn(pos, (F.col("_local") + F.col("_offset")).cast("bigint"))
     )
     return out.drop("_block", "_local", "_offset")
+
+
+def full_ranks(df: DataFrame, keys: list[str], score: str, tie: str, rank: str = "rank") -> DataFrame:
+    """One-based rank by falling score over lists of any length.
+
+    Rows are range-sorted across tasks, numbered inside each range and shifted by
+    the running count of earlier ranges.  The sorted rows are written once, so a
+    range keeps its rows if an executor is lost.
+    """
+    order = [*by_score(score), F.col(tie)]
+    stored = cut_lineage(df.orderBy(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    counts = stored.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    out = stored.withColumn("_i", F.row_number().over(inside)).join(offsets, [*keys, "_range"])
+    return out.withColumn(rank, (F.col("_i") + F.col("_off")).cast("int")).drop("_i", "_off", "_range")

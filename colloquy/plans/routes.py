@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from colloquy.functions.dates import explicit_date
 from colloquy.functions.jsonish import object_text, truthy
 from colloquy.functions.text import _c
+from colloquy.session import cut_lineage
 
 # Which retrievers a layer supports.
 LAYER_RETRIEVERS = {
@@ -182,7 +183,8 @@ def validated_plan(plans: DataFrame, raw: str = "model_output", question: str =
         p["known_asker"].alias("known_asker"),
         F.when(p["speaker_scope"] == "asker_only", "asker_only").otherwise("global").alias("speaker_scope"),
     )
-    return df.withColumn("plan", plan).drop("_p", "_rewritten", "_valid", "_r", "_visual", "_event", "_temporal", "_sort")
+    # Plans are one small row per question and every later step reads them often.
+    return cut_lineage(df.withColumn("plan", plan).drop("_p", "_rewritten", "_valid", "_r", "_visual", "_event", "_temporal", "_sort"))
 
 
 def unified_contract(plans: DataFrame, question: str = "question") -> DataFrame:
@@ -206,7 +208,7 @@ def unified_contract(plans: DataFrame, question: str = "question") -> DataFrame:
             ).otherwise(r),
         ),
     )
-    return df.withColumn("plan", p.withField("routes", F.col("_r")).withField("strategy", F.lit("unified_hybrid_route"))).drop("_r", "_has")
+    return cut_lineage(df.withColumn("plan", p.withField("routes", F.col("_r")).withField("strategy", F.lit("unified_hybrid_route"))).drop("_r", "_has"))
 
 
 def _append(df: DataFrame, when: Column, extra: Column) -> DataFrame:
