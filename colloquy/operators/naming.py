@@ -187,9 +187,9 @@ def alias_key(name: pd.Series) -> pd.Series:
 
     def key(value: str | None) -> str:
         text = unicodedata.normalize("NFKC", value or "").strip().casefold()
-        head, _, tail = text.partition(" ")
-        if tail and head.rstrip(".") in {"mr", "mrs", "ms", "miss", "dr"}:
-            text = tail.strip()
+        head, tail = (text.split(None, 1) + ["", ""])[:2]
+        if tail and head.removesuffix(".") in {"mr", "mrs", "ms", "miss", "dr"}:
+            text = tail
         first = (text.split() or [""])[0]
         return "".join(c for c in first if c.isalnum() or c in "_'’-")
 
