@@ -100,6 +100,8 @@ def score(index: DataFrame, terms: DataFrame, scope: tuple[str, ...] = (), keys:
 class Weights:
     """Question terms with their statistics, in the layout the scan reads."""
 
+    positive = True
+
     def __init__(self, terms: pa.Table, stats: pa.Table, keys: tuple[str, ...]):
         totals = {t: (n, length) for t, n, length in zip(*(stats.column(c).to_pylist() for c in ("term", "df", "length")))}
         self.n_docs, length = totals.pop(SENTINEL, (0, 0))
@@ -141,6 +143,11 @@ def corpus_stats(corpus: DataFrame, text: str, vocabulary: DataFrame) -> DataFra
     return flat.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("_n").alias("length"))
 
 
+def load_weights(corpus: DataFrame, terms: DataFrame, text: str, keys: tuple[str, ...] = ("query_id",)) -> Weights:
+    """Question terms (few, see ``SCAN_TERMS``) and their corpus statistics on the driver."""
+    return Weights(terms.toArrow(), corpus_stats(corpus, text, terms).toArrow(), keys)
+
+
 def scan_topk(corpus: DataFrame, terms: DataFrame, k: int, node: str, text: str, keys: tuple[str, ...]) -> DataFrame:
     """Two passes over the corpus and no shuffle of tokens or pair scores.
 
@@ -151,7 +158,7 @@ def scan_topk(corpus: DataFrame, terms: DataFrame, k: int, node: str, text: str,
     types = dict(terms.dtypes)
     node_type = dict(corpus.dtypes)[node]
     schema = ", ".join(f"{c} {types[c]}" for c in keys) + f", node_id {node_type}, score double"
-    weights = Weights(terms.toArrow(), corpus_stats(corpus, text, terms).toArrow(), keys)
+    weights = load_weights(corpus, terms, text, keys)
     if not weights.names:
         return spark.createDataFrame([], schema + ", rank int")
     shipped = spark.sparkContext.broadcast(weights)

@@ -62,6 +62,12 @@ def query_chunks(queries: DataFrame, qid: str, vec: str) -> Iterator[tuple[list,
             yield table.column("q").to_pylist(), matrix(table.column("v"))
 
 
+def all_queries(queries: DataFrame, qid: str, vec: str) -> tuple[list, np.ndarray]:
+    """Every question vector at once, for callers that already bound their number."""
+    parts = list(query_chunks(queries, qid, vec))
+    return [n for names, _ in parts for n in names], np.concatenate([b for _, b in parts])
+
+
 def dense_topk(
     corpus: DataFrame,
     queries: DataFrame,
