@@ -14,6 +14,7 @@ from colloquy.functions.text import coverage, natural_key
 from colloquy.operators import collections, context, metrics, packing, relations
 from colloquy.operators.ranking import by_score, top_k
 from colloquy.plans.routes import asker_query, bundle_gate as gate
+from colloquy.session import cut_lineage
 from colloquy.sources.tables import FACTS_SQL, TURNS_SQL, documents, fact_refs, facts, questions, table, turns
 
 
@@ -262,9 +263,10 @@ def membership_audit(spark: SparkSession, d: str) -> DataFrame:
 
 def context_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Collection node, its promoted turns, then projected turns, with references."""
-    best = session_collections(spark, d, 1).select("query_id", F.col("node_id").alias("session_id"))
-    raw = projected(spark, d)
+    best = cut_lineage(session_collections(spark, d, 1).select("query_id", F.col("node_id").alias("session_id")))
+    raw = cut_lineage(projected(spark, d))
     member = collections.references(facts(spark, d)).select("session_id", "ref")
+    # The promoted turns feed the node, its references and the rest.
     near = raw.join(best, "query_id").join(member, ["session_id", "ref"], "left_semi").select("query_id", "ref", F.lit(1).alias("part"), "rank")
     rest = raw.join(near, ["query_id", "ref"], "left_anti").select("query_id", "ref", F.lit(2).alias("part"), "rank")
     rows = near.unionByName(rest).select("query_id", F.concat(F.lit("raw:"), "ref").alias("node_id"), F.lit(False).alias("is_upper"), F.array("ref").alias("refs"), "part", "rank")
@@ -273,6 +275,7 @@ def context_candidates(spark: SparkSession, d: str) -> DataFrame:
     node = best.join(cited, "query_id").select(
         "query_id", F.concat(F.lit("collection:"), "session_id").alias("node_id"), F.lit(True).alias("is_upper"), "refs", F.lit(0).alias("part"), F.lit(0).alias("rank")
     )
+    node = cut_lineage(node)
     every = top_k(rows.unionByName(node), ["query_id"], [F.col("part"), F.col("rank"), F.col("node_id")], 2**31 - 1, "idx")
     quota = F.least(F.lit(8), F.greatest(F.lit(2), F.size("refs")))
     quotas = node.select("query_id", quota.alias("quota"))
@@ -305,7 +308,7 @@ def evidence_bundles(spark: SparkSession, d: str) -> DataFrame:
 def anchor_pack(spark: SparkSession, d: str) -> DataFrame:
     """Relevance prefix, anchors with their related turns, then filler."""
     base = raw_hits(spark, d).select("query_id", F.lit("base").alias("part"), F.col("rank").alias("pos"), F.col("ref").alias("node_id"), F.lit("").alias("owner"))
-    anchors = raw_anchors(spark, d)
+    anchors = cut_lineage(raw_anchors(spark, d))
     heads = anchors.select("query_id", F.lit("anchor").alias("part"), F.col("anchor").alias("pos"), F.col("ref").alias("node_id"), F.lit("").alias("owner"))
     raw = turns(spark, d).select("ref", "session_id", "ordinal", "reply_to")
     addressed = fact_refs(facts(spark, d)).select("node_id", "ref")

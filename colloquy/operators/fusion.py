@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from colloquy.config import RRF_K
 from colloquy.operators.ranking import by_score, top_k
+from colloquy.session import cut_lineage
 
 
 def _ordered_sum(position: list[str], value) -> F.Column:
@@ -25,6 +26,8 @@ def collapse_variants(ranked: DataFrame, keys: tuple[str, ...] = ("query_id",),
     with unit weights and re-ranked.
     """
     channel = [*keys, "channel"]
+    # Lists are as long as a channel's depth and are read three times: written once.
+    ranked = cut_lineage(ranked)
     lists = ranked.groupBy(*channel).agg(F.countDistinct("variant").alias("_lists"), F.max("weight").alias("_w"))
     tagged = ranked.join(lists, channel)
     single = tagged.filter("_lists = 1").select(*channel, F.col("_w").alias("weight"), F.lit(0).alias("variant"), "rank", node)
@@ -74,6 +77,7 @@ def consensus(
     ``evidence(keys, rank, ref)``.  Overlap starts from the evidence, which is
     short, so a collection with very many turns is never unrolled per question.
     """
+    collections = cut_lineage(collections)
     overlap = (
         evidence.select(*keys, F.col("rank").alias("hit"), "ref")
         .join(members.select("node_id", "ref"), "ref")

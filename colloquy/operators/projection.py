@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from colloquy.config import RRF_K
 from colloquy.operators.ranking import by_score, top_k
+from colloquy.session import cut_lineage
 
 
 def grounding(
@@ -23,7 +24,8 @@ def grounding(
     session_id, ordinal)``; ``media(node_id, ref)``.  Neighbours are an equi-join
     on the shifted ordinal.
     """
-    cited = upper.join(refs, "node_id").join(raw, "ref")
+    # Depth times references per question, read by both branches: written once.
+    cited = cut_lineage(upper.join(refs, "node_id").join(raw, "ref").select(*keys, "rank", "node_id", "ref", "session_id", "ordinal"))
     direct = cited.select(*keys, "rank", "node_id", "ref", F.lit(1.0).alias("weight"), F.lit(0).alias("_r"), F.lit("direct").alias("relation"))
     found = direct
     if media is not None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.text import informative, tokens
 from colloquy.operators.ranking import by_score, top_k
+from colloquy.session import cut_lineage
 
 # Priority per relation.
 REPLY_TO, REPLIED_BY, SIBLING, LOCAL, LOCAL_STEP = 5.0, 4.8, 4.0, 2.0, 0.15
@@ -19,7 +20,8 @@ def expand(anchors: DataFrame, raw: DataFrame, addressed_refs: DataFrame, keys:
     ``addressed_refs(node_id, ref)`` holds facts with a known addressee and at
     most four references.
     """
-    a = anchors.join(raw, "ref").withColumn("w", F.lit(1.0) / F.col("anchor"))
+    # A few anchors per question, read by five branches: written once.
+    a = cut_lineage(anchors.join(raw, "ref").withColumn("w", F.lit(1.0) / F.col("anchor")))
     head = [*keys, F.col("ref").alias("anchor_ref"), "w"]
 
     def found(df: DataFrame, reason: Column, priority: Column) -> DataFrame:
