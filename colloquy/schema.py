@@ -1,14 +1,15 @@
 """Explicit schemas; every reader fails fast against them."""
 
-TURN_JSON = "turn_id STRING, ordinal INT, text STRING, timestamp STRING, speaker_id STRING, speaker_name STRING, speaker_role STRING, " \
-    "image_id STRING, image_ids ARRAY<STRING>, image_caption STRING, image_captions STRING, " \
-    "images ARRAY<STRUCT<image_id: STRING, id: STRING, caption: STRING, path: STRING>>, " \
-    "audio_ref STRING, audio_path STRING, audio_file STRING, reply_to_turn_id STRING"
+TURN_JSON = (
+    "turn_id: STRING, ordinal: INT, text: STRING, timestamp: STRING, speaker_id: STRING, speaker_name: STRING, speaker_role: STRING, "
+    "image_id: STRING, image_ids: ARRAY<STRING>, image_caption: STRING, image_captions: STRING, "
+    "images: ARRAY<STRUCT<image_id: STRING, id: STRING, caption: STRING, path: STRING>>, "
+    "audio_ref: STRING, audio_path: STRING, audio_file: STRING, reply_to_turn_id: STRING"
+)
 
 CASE_JSON = (
     "case_id STRING, session_dates MAP<STRING, STRING>, sessions ARRAY<STRUCT<session_id: STRING, date: STRING>>, "
-    f"dialogues MAP<STRING, ARRAY<STRUCT<{TURN_JSON.replace(' STRING', ': STRING').replace(' INT', ': INT').replace(' ARRAY', ': ARRAY')}>>>, "
-    "qa STRING, qa_pairs STRING"
+    f"dialogues MAP<STRING, ARRAY<STRUCT<{TURN_JSON}>>>, qa STRING, qa_pairs STRING"
 )
 
 QA_JSON = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from colloquy.errors import ContractViolation
 
@@ -44,7 +44,7 @@ def call_external(rows: DataFrame, message: str, make_client: Callable[[], Calla
 
     A call that fails every attempt gives a NULL response; nothing is invented.
     """
-    schema = rows.schema.add("response", "string").add("attempt", "int")
+    schema = T.StructType([*rows.schema.fields, T.StructField("response", T.StringType()), T.StructField("attempt", T.IntegerType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
