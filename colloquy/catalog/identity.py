@@ -116,11 +116,11 @@ sz AS (SELECT case_id, speaker_ref AS label, count(*) AS size, count(DISTINCT se
 wm AS (SELECT case_id, src AS label, quantile_cont(v, 5e-1) AS within FROM cos WHERE src = dst GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_COS_SQL} SELECT case_id, label, size, n_sessions, round(within, 6) AS within_median FROM sz JOIN wm USING (case_id, label)")
+@query(f"WITH {_COS_SQL} SELECT case_id, label, size, n_sessions, round(within, 7) AS within_median FROM sz JOIN wm USING (case_id, label)")
 def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
     v = labelled(spark, d)
     s = fragments.cluster_summary(graph.cosine_counts(v), fragments.cluster_sizes(v)).filter("within_median IS NOT NULL")
-    return s.select("case_id", "label", "size", "n_sessions", F.round("within_median", 6).alias("within_median"))
+    return s.select("case_id", "label", "size", "n_sessions", F.round("within_median", 7).alias("within_median"))
 
 
 _EVID_SQL = f"""{_COS_SQL},

@@ -7,10 +7,10 @@ from colloquy.catalog import ORACLES, QUERIES
 
 ROWS_ONLY = {
     "pack_context", "evidence_bundles", "anchor_pack", "reconcile_fragments", "online_speaker_match", "alias_resolution",
-    "cluster_naming", "cluster_gold_matching", "stream_speaker_match", "plan_validate", "executor_context", "iterative_rounds",
+    "cluster_naming", "cluster_gold_matching", "stream_speaker_match", "plan_validate", "executor_context", "iterative_rounds", "boundary_identities",
 }
 # Long jobs run once, in the tests below.
-SEPARATE = {"executor_context", "iterative_rounds", "stream_speaker_match", "online_speaker_match", "reconcile_fragments"}
+SEPARATE = {"executor_context", "iterative_rounds", "stream_speaker_match", "online_speaker_match", "reconcile_fragments", "boundary_identities"}
 
 
 def test_every_query_has_sql_or_a_reason():
