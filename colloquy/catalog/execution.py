@@ -39,10 +39,14 @@ def model_plans(spark: SparkSession, d: str) -> DataFrame:
     return q_items(spark, d).select("query_id", F.col("text").alias("question"), (m == 1).alias("has_image"), body.alias("model_output"))
 
 
-@query()
+@query(
+    """SELECT item_id, item_id % 6 <> 5 AS router_parse_ok, CASE item_id % 6 WHEN 0 THEN 'collection:dense+bm25;raw:dense+bm25' WHEN 1 THEN 'raw:bm25+dense+image+caption;fact:dense+bm25'
+  WHEN 3 THEN 'fact:bm25+dense;raw:image+caption+dense+bm25' WHEN 4 THEN 'fact:dense+bm25;raw:dense+bm25' ELSE 'raw:dense+bm25' END AS routes,
+  CASE WHEN item_id % 6 IN (2, 4) THEN 'time' ELSE 'score' END AS sort_by, CASE WHEN item_id % 6 = 2 THEN '2024-01-03' ELSE '' END AS time_range FROM benchmark"""
+)
 def plan_validate(spark: SparkSession, d: str) -> DataFrame:
     p = unified_contract(validated_plan(model_plans(spark, d)))
-    return p.select(F.col("query_id").alias("item_id"), "router_parse_ok", routes_text(F.col("plan.routes")).alias("routes"), "plan.sort_by", "plan.time_range")
+    return p.select(F.col("query_id").alias("item_id"), "router_parse_ok", routes_text(F.col("plan.routes")).alias("routes"), "plan.sort_by", F.coalesce("plan.time_range", F.lit("")).alias("time_range"))
 
 
 @query()

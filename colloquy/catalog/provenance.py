@@ -9,6 +9,7 @@ from colloquy.catalog.retrieval import anchors
 from colloquy.catalog.sqlparts import coverage_sql, informative_sql
 from colloquy.operators import bm25, collections, fusion, projection, relations
 from colloquy.operators.ranking import by_score, top_k
+from colloquy.session import cut_lineage
 from colloquy.sources.tables import FACTS_SQL, TURNS_SQL, bm25_sql, fact_refs, facts, questions, turns
 
 
@@ -204,19 +205,20 @@ def profile_state_expansion(spark: SparkSession, d: str) -> DataFrame:
     roles = F.array(F.struct(F.col("source_speaker_ref").alias("stable"), F.lit(True).alias("spoke")), F.struct(F.col("addressee").alias("stable"), F.lit(False).alias("spoke")))
     owned = f.select("node_id", "text", F.explode(roles).alias("r")).select("node_id", "text", "r.stable", "r.spoke")
     # Facts enter by shared words or by their place in the fact ranking.
-    cov = relations.shared_coverage(q, owned, ("stable",)).filter("coverage >= 0.18")
+    shared = relations.shared_coverage(q, owned, ("stable",))
+    cov = shared.filter("coverage >= 0.18")
     hits = fact_hits(spark, d).select("query_id", "node_id", (F.col("rank") - 1).alias("r0"))
     keyed = q.select("query_id", "stable").join(owned.select("node_id", "stable", "spoke"), "stable")
     entered = cov.select("query_id", "node_id").union(hits.select("query_id", "node_id")).distinct()
-    all_cov = relations.shared_coverage(q, owned.drop("spoke"), ("stable",))
     kept = (
         entered.join(keyed, ["query_id", "node_id"])
-        .join(all_cov, ["query_id", "node_id"], "left")
+        .join(shared, ["query_id", "node_id"], "left")
         .join(hits, ["query_id", "node_id"], "left")
         .fillna({"coverage": 0.0, "r0": 10**6})
     )
     raw = turns(spark, d).select("ref", "session_id", "ordinal")
     refs = fact_refs(f).select("node_id", "ref")
+    kept = cut_lineage(kept)
     places = kept.select("query_id", "node_id").join(refs, "node_id").join(raw, "ref")
     near = relations.coherence(places, raw_hits(spark, d, 12).join(raw, "ref"))
     p = kept.join(near, ["query_id", "node_id"], "left").fillna({"coherence": 0.0})

@@ -168,11 +168,13 @@ SELECT qid AS item_id, node AS ref, round(boost, 9) AS boost, CAST(row_number()
 def low_confidence_reorder(spark: SparkSession, d: str) -> DataFrame:
     q = q_items(spark, d).withColumn("stable", asker())
     f = facts(spark, d)
-    owners = f.select("node_id", "text", F.explode(F.array("source_speaker_ref", "addressee")).alias("stable"))
-    close = relations.shared_coverage(q, owners, ("stable",)).filter("coverage >= 0.18")
-    related = close.join(fact_refs(f), "node_id").select("query_id", "ref").distinct().withColumn("related", F.lit(True))
+    owners = f.select("node_id", F.col("text").alias("fact_text"), F.explode(F.array("source_speaker_ref", "addressee")).alias("stable"))
+    # Only facts that cite a turn of the context can matter, so the pairs start there.
+    hits = cut_lineage(raw_hits(spark, d).join(q, "query_id"))
+    cited = hits.join(fact_refs(f).select("node_id", "ref"), "ref").join(owners, ["node_id", "stable"])
+    related = cited.filter(coverage("text", "fact_text") >= 0.18).select("query_id", "ref").distinct().withColumn("related", F.lit(True))
     t = turns(spark, d).select("ref", "speaker_ref", F.col("text").alias("body"))
-    ctx = raw_hits(spark, d).join(q, "query_id").join(t, "ref").join(related, ["query_id", "ref"], "left").fillna(False, ["related"])
+    ctx = hits.join(t, "ref").join(related, ["query_id", "ref"], "left").fillna(False, ["related"])
     ctx = ctx.select("query_id", F.col("rank").alias("slot"), "ref", (F.col("speaker_ref") == F.col("stable")).alias("direct"), "related", coverage("text", "body").alias("lexical"))
     out = context.low_confidence_reorder(ctx, ["query_id"])
     return out.select(F.col("query_id").alias("item_id"), "ref", F.round("boost", 9).alias("boost"), F.col("new_slot").alias("slot"))
