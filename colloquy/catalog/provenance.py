@@ -94,8 +94,7 @@ def speaker_profiles(spark: SparkSession, d: str) -> DataFrame:
 def session_collections(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
     """Sessions ranked as collections of their facts."""
     terms = bm25.question_terms(q_items(spark, d))
-    index = bm25.group_postings(facts(spark, d).select("session_id", "text"), "session_id", "text", terms)
-    return top_k(bm25.score(index, terms), ["query_id"], by_score("score", "node_id"), k)
+    return bm25.group_topk(facts(spark, d).select("session_id", "text"), "session_id", "text", terms, k)
 
 
 SESSION_BM25_SQL = "sess AS (SELECT session_id, string_agg(text, ' ') AS text FROM facts GROUP BY session_id), " + bm25_sql(

@@ -13,6 +13,8 @@ from colloquy.sources.encoders import hashed_vectors
 from colloquy.sources.tables import FACTS_SQL, bm25_sql, documents, fact_refs, facts, questions, table
 
 LONG_TOKEN = 5
+# For lists of collections without a depth limit.
+ANY_DEPTH = 2**20
 
 
 @query(
@@ -217,16 +219,11 @@ def semantic_anchors(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _source_postings(spark: SparkSession, d: str, terms: DataFrame) -> DataFrame:
-    return bm25.group_postings(documents(spark, d, "source", "text"), "source", "text", terms)
-
-
 def source_collections(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
     """Sources ranked as collections of their documents."""
     q = questions(spark, d).withColumnRenamed("item_id", "query_id")
     terms = bm25.question_terms(q)
-    scored = bm25.score(_source_postings(spark, d, terms), terms)
-    return top_k(scored, ["query_id"], by_score("score", "node_id"), k)
+    return bm25.group_topk(documents(spark, d, "source", "text"), "source", "text", terms, k)
 
 
 SOURCE_BM25_SQL = "srcs AS (SELECT source, string_agg(text, ' ') AS text FROM documents GROUP BY source), " + bm25_sql(
@@ -334,9 +331,8 @@ def visual_set_by_image(spark: SparkSession, d: str) -> DataFrame:
     q = questions(spark, d).withColumnRenamed("item_id", "query_id")
     terms = bm25.question_terms(q)
     members = documents(spark, d).join(e.select("vec_id", "label"), F.col("doc_id") == F.col("vec_id"))
-    text = top_k(
-        bm25.score(bm25.group_postings(members, "label", "text", terms), terms), ["query_id"], by_score("score", "node_id"), 2**31 - 1, "text_rank"
-    ).select("query_id", F.col("node_id").alias("label"), "text_rank")
+    ranked = bm25.group_topk(members, "label", "text", terms, ANY_DEPTH)
+    text = ranked.select("query_id", F.col("node_id").alias("label"), F.col("rank").alias("text_rank"))
     listed = text.groupBy("query_id").agg(F.count("*").alias("n"))
     joined = visual.join(text, ["query_id", "label"], "left").join(listed, "query_id", "left")
     rank = F.coalesce("text_rank", F.coalesce("n", F.lit(0)) + 1)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from colloquy.functions.text import tokens
 from colloquy.operators.local_topk import SCORE_BLOCK, LocalTopK
 from colloquy.operators.ranking import by_score, top_k
+from colloquy.session import cut_lineage
 
 # Fixed values.
 K1 = 1.5
@@ -121,14 +122,19 @@ class Weights:
 
     def scores(self, lists: pa.ListArray) -> np.ndarray:
         """(documents x questions) BM25 for one block of token lists."""
-        n, v, m = len(lists), len(self.vocabulary), len(self.names)
+        n, v = len(lists), len(self.vocabulary)
         dl = np.diff(lists.offsets.to_numpy())
         codes = pc.fill_null(pc.index_in(lists.flatten(), value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False)
         rows = np.repeat(np.arange(n), dl)
         known = codes >= 0
         cell, tf = np.unique(rows[known] * max(v, 1) + codes[known], return_counts=True)
         row, term = np.divmod(cell, max(v, 1))
-        hit = self.idf[term] * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dl[row] / self.avgdl))
+        return self.by_question(row, term, tf, dl[row], n)
+
+    def by_question(self, row: np.ndarray, term: np.ndarray, tf: np.ndarray, dl: np.ndarray, n: int) -> np.ndarray:
+        """Add the hits of (row, term) cells up per row and question."""
+        m = len(self.names)
+        hit = self.idf[term] * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dl / self.avgdl))
         times = self.start[term + 1] - self.start[term]
         first = np.repeat(self.start[term] - np.cumsum(times) + times, times)
         asked = self.question[first + np.arange(times.sum())]
@@ -202,3 +208,55 @@ def bm25_topk(
     index = postings(corpus, node, text, scope, terms)
     scored = score(index, terms, scope, keys)
     return top_k(scored, [*scope, *keys], by_score("score", "node_id"), k)
+
+
+def group_topk(corpus: DataFrame, group: str, text: str, terms: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Best ``k`` groups per question, each group indexed as one document.
+
+    The counts of a group meet in one task, sorted by group, and are scored there
+    row by row; pairs of question and group are not shuffled.
+    """
+    index = cut_lineage(group_postings(corpus, group, text, terms))
+    if terms.count() > SCAN_TERMS:
+        return top_k(score(index, terms, keys=keys), list(keys), by_score("score", "node_id"), k)
+    spark = corpus.sparkSession
+    types, node_type = dict(terms.dtypes), dict(index.dtypes)["node_id"]
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + f", node_id {node_type}, score double"
+    stats = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length"))
+    weights = Weights(terms.toArrow(), stats.toArrow(), keys)
+    if not weights.names:
+        return spark.createDataFrame([], schema + ", rank int")
+    shipped = spark.sparkContext.broadcast(weights)
+    name_types = [types[c] for c in keys]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shipped.value
+        best = LocalTopK(w.names, name_types, node_type, k)
+        open_node, open_scores = None, None
+        step = max(1, SCORE_BLOCK // len(w.names))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                nodes = part.column(0).to_numpy(zero_copy_only=False)
+                new = np.concatenate([[True], nodes[1:] != nodes[:-1]])
+                row, heads = np.cumsum(new) - 1, nodes[new]
+                term = pc.index_in(part.column(1), value_set=w.vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+                block = w.by_question(row, term, part.column(2).to_numpy(), part.column(3).to_numpy(), len(heads))
+                if open_node is not None:
+                    if heads[0] == open_node:
+                        block[0] += open_scores
+                    else:
+                        best.offer(open_scores[None, :], np.array([open_node], dtype=nodes.dtype), positive=True)
+                # A group may go on in the next rows, so the last one stays open.
+                open_node, open_scores = heads[-1], block[-1].copy()
+                if len(heads) > 1:
+                    best.offer(block[:-1], heads[:-1], positive=True)
+        if open_node is not None:
+            best.offer(open_scores[None, :], np.array([open_node]), positive=True)
+        out = best.batch(list(keys))
+        if out is not None:
+            yield out
+
+    counted = index.filter(F.col("term") != SENTINEL).select("node_id", "term", F.col("tf").cast("double").alias("tf"), F.col("dl").cast("double").alias("dl"))
+    found = counted.repartition("node_id").sortWithinPartitions("node_id").mapInArrow(task, schema)
+    return top_k(found, list(keys), by_score("score", "node_id"), k)

@@ -42,7 +42,7 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
-    return turns_of(table(spark, folder, "conversations"))
+    return turns_of(spread(table(spark, folder, "conversations")))
 
 
 def turns_of(c: DataFrame) -> DataFrame:

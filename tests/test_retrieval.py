@@ -86,3 +86,18 @@ def test_positions_and_ranks_survive_one_hot_key(spark):
     assert all(r.pos == (r.o // 3 if r.k == "hot" else r.o) and r.n == (5000 if r.k == "hot" else 5) for r in out)
     same = spark.createDataFrame([("hot", i, 1.0) for i in range(3000)], "k string, id int, s double").repartition(6)
     assert all(r["rank"] == r.id + 1 for r in full_ranks(same, ["k"], "s", "id").collect())
+
+
+def test_group_topk_carries_groups_across_blocks(spark, corpus, monkeypatch):
+    docs = spark.createDataFrame([(i % 7, t) for i, t in corpus.items()], "grp int, text string").repartition(3)
+    joined = {g: " ".join(t for i, t in corpus.items() if i % 7 == g) for g in range(7)}
+    asked = spark.createDataFrame([(1, "red cat"), (2, "sun moon tea")], "query_id int, text string")
+    terms = bm25.question_terms(asked)
+    want = {1: brute(joined, "red cat", 4), 2: brute(joined, "sun moon tea", 4)}
+    for block, limit in ((bm25.SCORE_BLOCK, bm25.SCAN_TERMS), (2, bm25.SCAN_TERMS), (2, 0)):
+        monkeypatch.setattr(bm25, "SCORE_BLOCK", block)
+        monkeypatch.setattr(bm25, "SCAN_TERMS", limit)
+        got = {}
+        for r in bm25.group_topk(docs, "grp", "text", terms, 4).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.node_id)
+        assert got == want
