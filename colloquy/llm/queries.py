@@ -1,0 +1,17 @@
+"""The registered queries of this subpackage and their checking SQL."""
+
+from __future__ import annotations
+
+from colloquy.llm.decontaminate import contamination, hits
+from colloquy.llm.frames import table
+from colloquy.llm.oracles import OP10
+from pyspark.sql import DataFrame, SparkSession
+
+
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Which documents hold passages of the benchmark, and how much of them."""
+    return hits(contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+QUERIES = {"op10_decontaminate": op10_decontaminate}
+ORACLES = {"op10_decontaminate": OP10}
