@@ -9,7 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from colloquy.session import shared_dir
 
 
+# Bytes of one Arrow batch that is handed to a Python task.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by bytes: a row may hold a long text or a packed block."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -20,6 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     later passes read only the columns they need.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

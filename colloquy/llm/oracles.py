@@ -27,3 +27,15 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+OP6 = f"""
+WITH doc AS (SELECT doc_id, {_words("text", BLANK_SEPARATED)} AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i : i + 19], ' ') ORDER BY doc_id, i) AS nth
+  FROM doc, unnest(range(1, len(ws) - 18)) AS t(i)),
+gone AS (SELECT DISTINCT doc_id, p FROM win, unnest(range(i, i + 20)) AS t(p) WHERE nth > 1),
+word AS (SELECT doc_id, p, ws[p] AS w FROM doc, unnest(range(1, len(ws) + 1)) AS t(p)),
+left_over AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY p) AS kept FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM doc LEFT JOIN left_over USING (doc_id)
+"""

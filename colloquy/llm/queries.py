@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from colloquy.llm.decontaminate import contamination, hits
 from colloquy.llm.frames import table
-from colloquy.llm.oracles import OP10
+from colloquy.llm.oracles import OP6, OP10
+from colloquy.llm.substrings import digest, remove_repeats
 from pyspark.sql import DataFrame, SparkSession
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the word sequences that also occur earlier."""
+    return digest(remove_repeats(table(spark, folder, "documents")))
+
+
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Which documents hold passages of the benchmark, and how much of them."""
     return hits(contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
-QUERIES = {"op10_decontaminate": op10_decontaminate}
-ORACLES = {"op10_decontaminate": OP10}
+QUERIES = {
+    "op6_substring_dedup": op6_substring_dedup,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLES = {"op6_substring_dedup": OP6, "op10_decontaminate": OP10}
