@@ -39,3 +39,18 @@ left_over AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY p) AS kep
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM doc LEFT JOIN left_over USING (doc_id)
 """
+
+OP9 = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, {_words(LOWERED.format("text"), BLANK_SEPARATED)} AS ws FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 1], ' ') AS s
+  FROM doc, unnest(range(1, greatest(len(ws) - 1, 1) + 1)) AS t(i) WHERE len(ws) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+link AS (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) AS p
+  JOIN size u ON u.doc_id = a JOIN size v ON v.doc_id = b WHERE 100 * common >= 80 * (u.n + v.n - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT a AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(b) AS component_id, min(b) = a AS kept
+FROM reach LEFT JOIN size ON size.doc_id = a GROUP BY a
+"""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from colloquy.llm.decontaminate import contamination, hits
 from colloquy.llm.frames import table
-from colloquy.llm.oracles import OP6, OP10
+from colloquy.llm import minhash
+from colloquy.llm.oracles import OP6, OP9, OP10
 from colloquy.llm.substrings import digest, remove_repeats
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,11 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return digest(remove_repeats(table(spark, folder, "documents")))
 
 
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of near-duplicate documents over two-word shingles."""
+    return minhash.digest(minhash.near_duplicates(table(spark, folder, "documents"), width=2))
+
+
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Which documents hold passages of the benchmark, and how much of them."""
     return hits(contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
@@ -21,6 +27,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
+    "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES = {"op6_substring_dedup": OP6, "op10_decontaminate": OP10}
+ORACLES = {"op6_substring_dedup": OP6, "op9_minhash": OP9, "op10_decontaminate": OP10}
