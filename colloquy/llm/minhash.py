@@ -2,11 +2,11 @@
 
 Signatures are minima of many universal hashes over a document's shingles; bands
 of them name candidates.  Documents with equal shingle sets are one node.  In a
-band's bucket every node is first compared with the bucket's smallest id; what
-is then still in different components is compared in blocks, by signature and
-then on the full sets, until nothing is left.  A large bucket of near copies
-therefore costs a star and not all its pairs, and no link between components is
-missed.
+band's bucket every node is first compared with the bucket's smallest id.  What is
+then still in different components is compared by signature, and a node that
+nearly agrees with a member of another component is held against all its members
+on the full sets.  A large bucket of near copies therefore costs a star and not
+all its pairs, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from colloquy.llm.frames import long_of, stored
 from colloquy.llm.stars import components
@@ -30,8 +30,8 @@ BANDS, ROWS = 40, 5
 AGREEMENT = 0.64
 # Nodes of a bucket that one task compares with the nodes outside its main component.
 BLOCK = 4096
-# Pairs a node sends to the exact check per round, times the round's factor.
-FIRST_TRIES, MORE_TRIES = 32, 32
+# Members of a component that one task holds against a block of nodes.
+MEMBERS = 256
 
 _SEED = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A, _B = _SEED[: BANDS * ROWS] | np.uint64(1), _SEED[BANDS * ROWS :]
@@ -153,45 +153,92 @@ def _fits(a: str, b: str, similarity: int):
     return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
 
 
-def _open_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, tried: DataFrame, similarity: int, tries: int) -> DataFrame:
-    """Untried pairs of different components that share a bucket and nearly agree in signature.
+def _near_components(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
+    """``u, c``: a node and another component, one member of which shares a bucket and nearly agrees in signature.
 
-    Per bucket, the nodes outside the component with the most members go to every
-    block of the bucket's nodes; a node brings its ``tries`` best partners per
-    block.
+    Per bucket, the nodes outside its main component meet every block of the
+    bucket's nodes.  Of two components the one with the larger (members here, id)
+    is ``c``, so each pair is met from one side.
     """
     placed = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
     main = main.select("key", F.col("top.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("bigint").alias("blocks"))
-    open_rows = placed.join(main, "key").join(nodes.select("id", "n", "sig"), "id")
-    member = open_rows.select("key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(False).alias("stray"), "id", "n", "sig", "component")
-    stray = open_rows.filter("component <> main").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("stray"), "id", "n", "sig", "component")
+    open_rows = stored(placed.join(main, "key").join(nodes.select("id", "n", "sig"), "id"), "open")
+    cells = open_rows.count() // BLOCK + 1
+    fields = ["key", "block", "stray", "id", "n", "sig", "component"]
+    member = open_rows.withColumns({"block": F.pmod(F.xxhash64("id"), "blocks"), "stray": F.lit(False)}).select(fields)
+    stray = open_rows.filter("component <> main").withColumns({"block": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)), "stray": F.lit(True)}).select(fields)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["key", "block"], kind="stable")
         own = group["stray"].to_numpy()
-        ids, n, part = (group[c].to_numpy() for c in ("id", "n", "component"))
+        key, block, ids, n, part = (group[c].to_numpy() for c in ("key", "block", "id", "n", "component"))
         sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(len(group), -1)
-        base, base_sig = np.flatnonzero(~own), sig[~own]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
+        out: set[tuple[int, int]] = set()
+        for low, high in zip(heads, [*heads[1:], len(group)]):
+            base = low + np.flatnonzero(~own[low:high])
+            for i in low + np.flatnonzero(own[low:high]):
+                small, large = np.minimum(n[i], n[base]), np.maximum(n[i], n[base])
+                fits = base[(part[base] != part[i]) & (100 * small >= similarity * large)]
+                if not len(fits):
+                    continue
+                near = fits[(sig[fits] == sig[i]).mean(axis=1) >= AGREEMENT]
+                out.update((int(ids[i]), c) for c in np.unique(part[near]).tolist())
+        found = np.array(sorted(out), dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": found[:, 0], "c": found[:, 1]})
+
+    rows = member.unionByName(stray).withColumn("cell", F.pmod(F.xxhash64("key", "block"), F.lit(cells)))
+    return rows.groupBy("cell").applyInPandas(run, "u bigint, c bigint").distinct()
+
+
+def _links_into(near: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """``u, v``: for each (node, component), one member that the node's full set is similar to, if there is one.
+
+    The members of a component and the nodes held against it are cut into blocks,
+    and every node meets every member in exactly one task.
+    """
+    size = nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("c"))
+    shape = near.groupBy("c").agg(F.ceil(F.count("*") / (4 * MEMBERS)).cast("bigint").alias("across"))
+    shape = size.join(shape, "c").groupBy("c").agg(F.first("across").alias("across"), F.ceil(F.count("*") / MEMBERS).cast("bigint").alias("blocks"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    fields = ["c", "down", "over", "stray", "id"]
+    member = size.join(shape, "c").withColumns({"down": of("blocks"), "over": each("across"), "stray": F.lit(False)}).select(fields)
+    stray = near.withColumnRenamed("u", "id").join(shape, "c").withColumns({"down": each("blocks"), "over": of("across"), "stray": F.lit(True)}).select(fields)
+    data = nodes.select("id", "n", "sig").join(sets, "id")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        own = group["stray"].to_numpy()
+        ids, n = group["id"].to_numpy(), group["n"].to_numpy()
+        sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(len(group), -1)
+        shingles = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
+        base = np.flatnonzero(~own)
+        out = []
         for i in np.flatnonzero(own):
-            low, high = np.minimum(n[i], n[base]), np.maximum(n[i], n[base])
-            fits = base[(part[base] != part[i]) & (100 * low >= similarity * high)]
+            small, large = np.minimum(n[i], n[base]), np.maximum(n[i], n[base])
+            fits = base[100 * small >= similarity * large]
             if not len(fits):
                 continue
-            agree = (base_sig[np.searchsorted(base, fits)] == sig[i]).mean(axis=1)
-            near = np.flatnonzero(agree >= AGREEMENT)
-            best = near[np.argsort(-agree[near], kind="stable")]
-            out.append((np.full(len(best), ids[i]), ids[fits[best]], agree[best]))
-        if not out:
-            return pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64"), "agree": pd.Series(dtype="float64")})
-        u, v, agree = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v), "agree": agree}).drop_duplicates(["u", "v"])
-
-    found = member.unionByName(stray).groupBy("key", "block").applyInPandas(run, "u bigint, v bigint, agree double")
-    fresh = found.dropDuplicates(["u", "v"]).join(tried, ["u", "v"], "left_anti")
-    order = Window.partitionBy("u").orderBy(F.desc("agree"), "v")
-    return fresh.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= tries).select("u", "v")
+            agree = (sig[fits] == sig[i]).mean(axis=1)
+            order = np.argsort(-agree, kind="stable")
+            fits = fits[order][agree[order] >= AGREEMENT]
+            for low in range(0, len(fits), 32):
+                some = fits[low : low + 32]
+                every = np.concatenate([shingles[j] for j in some])
+                spot = np.searchsorted(shingles[i], every)
+                spot[spot == n[i]] = 0
+                lengths = n[some]
+                both = np.add.reduceat((shingles[i][spot] == every).astype(np.int64), np.cumsum(lengths) - lengths)
+                good = some[100 * both >= similarity * (n[i] + lengths - both)]
+                if len(good):
+                    out.append((ids[i], ids[good[0]]))
+                    break
+        found = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": found.max(axis=1), "v": found.min(axis=1)})
+
+    return member.unionByName(stray).join(data, "id").groupBy("c", "down", "over").applyInPandas(run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +255,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     solid = marks.filter("n > 0 and id is not null")
     equal = solid.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     copies = stored(solid.select("id", "d1", "d2", "n").join(equal, ["d1", "d2", "n"]).select("id", "rep").distinct(), "copies")
-    nodes = solid.join(equal.select(F.col("rep").alias("id"), "d1", "d2", "n"), ["id", "d1", "d2", "n"]).select("id", "n", "sig", "bands")
+    nodes = stored(solid.join(equal.select(F.col("rep").alias("id"), "d1", "d2", "n"), ["id", "d1", "d2", "n"]).select("id", "n", "sig", "bands").dropDuplicates(["id"]), "nodes")
     exploded = nodes.select(F.explode("bands").alias("key"), "id", "n")
     pivots = exploded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("pivot"), F.max("id").alias("other")).filter("pivot.id < other").drop("other")
     buckets = stored(exploded.join(pivots, "key").select("key", "id", "n", F.col("pivot.id").alias("v"), F.col("pivot.n").alias("v_n")), "buckets")
@@ -221,21 +268,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     same = copies.filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     links = tried.filter("ok").select("u", "v")
     labels = components(links.union(same))
-    small = buckets.select("key", "id")
-    small = small.join(small.groupBy("key").agg(F.count("*").alias("m")).filter("m > 2").select("key"), "key", "left_semi")
-    tries = FIRST_TRIES
-    while True:
-        apart = _apart(star, labels).join(tried.select("u", "v"), ["u", "v"], "left_anti") if tries == FIRST_TRIES else None
-        pairs = _open_pairs(small, nodes, labels, tried, similarity, tries)
-        pairs = stored(pairs if apart is None else pairs.union(apart).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        more = stored(_confirmed(pairs, sets, similarity), "confirmed")
-        tried = tried.unionByName(more)
-        if not more.filter("ok").isEmpty():
-            links = links.union(more.filter("ok").select("u", "v"))
-            labels = components(links.union(same))
-        tries *= MORE_TRIES
+    more = stored(_confirmed(_apart(star.join(first, ["u", "v"], "left_anti"), labels), sets, similarity), "confirmed")
+    links = links.union(more.filter("ok").select("u", "v"))
+    labels = components(links.union(same))
+    near = stored(_near_components(buckets.select("key", "id"), nodes, labels, similarity), "near")
+    late = stored(_links_into(near, nodes, labels, sets, similarity), "late")
+    labels = components(links.union(same).union(late))
     return marks.select("id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
