@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from colloquy.llm.decontaminate import contamination, hits
-from colloquy.llm.frames import table
+from colloquy.llm.frames import fold_of, table
 from colloquy.llm import minhash
+from colloquy.llm.ctw import code_lengths
 from colloquy.llm.oracles import OP6, OP9, OP10
 from colloquy.llm.substrings import digest, remove_repeats
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def op5_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probability of every text under context-tree weighting."""
+    docs = table(spark, folder, "documents")
+    found = code_lengths(docs, fold_of("doc_id", 5) != 1)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,6 +34,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_context_tree": op5_context_tree,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
