@@ -54,3 +54,25 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT reach.a, link.b
 SELECT a AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(b) AS component_id, min(b) = a AS kept
 FROM reach LEFT JOIN size ON size.doc_id = a GROUP BY a
 """
+
+OP7 = f"""
+WITH doc AS (
+  SELECT doc_id, source, CAST(len({_words("text", BLANK_SEPARATED)}) AS BIGINT) AS size, md5('mix|' || doc_id) AS h FROM documents),
+src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * CAST(sum(size) AS BIGINT) AS cap,
+    [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM doc GROUP BY source),
+lev AS (
+  SELECT *, CAST((SELECT sum(source_size) FROM src) - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / CAST(sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  FROM src WINDOW w AS (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST)),
+goal AS (
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT max(level) FROM lev WHERE level * weight <= cap) * weight, CAST(cap AS DOUBLE))) AS target
+  FROM src),
+num AS (
+  SELECT doc_id, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS words,
+    coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM doc JOIN goal USING (source))
+SELECT doc_id, size, source_size, target,
+  CAST(CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(size, words % source_size - before)) END AS BIGINT) AS taken
+FROM num
+"""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from colloquy.llm.decontaminate import contamination, hits
 from colloquy.llm.frames import fold_of, table
-from colloquy.llm import minhash
+from colloquy.llm import minhash, mixing
 from colloquy.llm.ctw import code_lengths
-from colloquy.llm.oracles import OP6, OP9, OP10
+from colloquy.llm.oracles import OP6, OP7, OP9, OP10
 from colloquy.llm.substrings import digest, remove_repeats
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,6 +23,11 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return digest(remove_repeats(table(spark, folder, "documents")))
 
 
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that a mix of all sources, weighing 5, 2, 1 in turn, takes of each document."""
+    return mixing.digest(mixing.mixture(table(spark, folder, "documents")))
+
+
 def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of near-duplicate documents over two-word shingles."""
     return minhash.digest(minhash.near_duplicates(table(spark, folder, "documents"), width=2))
@@ -36,7 +41,8 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op5_context_tree": op5_context_tree,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_mixing": op7_mixing,
     "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES = {"op6_substring_dedup": OP6, "op9_minhash": OP9, "op10_decontaminate": OP10}
+ORACLES = {"op6_substring_dedup": OP6, "op7_mixing": OP7, "op9_minhash": OP9, "op10_decontaminate": OP10}
