@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from colloquy.llm.decontaminate import contamination, hits
 from colloquy.llm.frames import fold_of, table
-from colloquy.llm import minhash, mixing
+from colloquy.llm import langid, minhash, mixing, quality
 from colloquy.llm.ctw import code_lengths
 from colloquy.llm.oracles import OP6, OP7, OP9, OP10
 from colloquy.llm.substrings import digest, remove_repeats
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document by rank-order n-gram profiles."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    known = langid.profiles(docs, fold_of("doc_id", 3) != 1)
+    found = langid.identify(docs.select("doc_id", "text"), known)
+    return found.select(F.col("id").alias("doc_id"), (fold_of("id", 3) == 1).alias("held_out"), "lang_pred", "score", "distance")
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document by naive-Bayes-scaled support vectors."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, folder, "labels"), fold_of("id", 5) != 0)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_context_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Log10 probability of every text under context-tree weighting."""
     docs = table(spark, folder, "documents")
@@ -39,6 +55,8 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_quality": op3_quality,
     "op5_context_tree": op5_context_tree,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mixing": op7_mixing,
