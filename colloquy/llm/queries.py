@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from colloquy.llm.decontaminate import contamination, hits
 from colloquy.llm.frames import fold_of, table
-from colloquy.llm import langid, minhash, mixing, quality
+from colloquy.llm import html, langid, minhash, mixing, quality
 from colloquy.llm.ctw import code_lengths
 from colloquy.llm.oracles import OP6, OP7, OP9, OP10
 from colloquy.llm.substrings import digest, remove_repeats
@@ -27,6 +27,11 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page by tag-path ratios."""
+    return html.extract(table(spark, folder, "pages"))
+
+
 def op5_context_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Log10 probability of every text under context-tree weighting."""
     docs = table(spark, folder, "documents")
@@ -57,6 +62,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_quality": op3_quality,
+    "op4_html": op4_html,
     "op5_context_tree": op5_context_tree,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mixing": op7_mixing,
