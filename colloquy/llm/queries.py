@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from colloquy.llm.decontaminate import contamination, hits
 from colloquy.llm.frames import fold_of, table
-from colloquy.llm import html, langid, minhash, mixing, quality
+from colloquy.llm import covertree, html, langid, minhash, mixing, quality
 from colloquy.llm.ctw import code_lengths
-from colloquy.llm.oracles import OP6, OP7, OP9, OP10
+from colloquy.llm.oracles import OP6, OP7, OP8, OP9, OP10
 from colloquy.llm.substrings import digest, remove_repeats
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -49,6 +49,11 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.digest(mixing.mixture(table(spark, folder, "documents")))
 
 
+def op8_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten largest inner products of every hundredth vector with all others."""
+    return covertree.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of near-duplicate documents over two-word shingles."""
     return minhash.digest(minhash.near_duplicates(table(spark, folder, "documents"), width=2))
@@ -66,7 +71,8 @@ QUERIES = {
     "op5_context_tree": op5_context_tree,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mixing": op7_mixing,
+    "op8_cover_tree": op8_cover_tree,
     "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES = {"op6_substring_dedup": OP6, "op7_mixing": OP7, "op9_minhash": OP9, "op10_decontaminate": OP10}
+ORACLES = {"op6_substring_dedup": OP6, "op7_mixing": OP7, "op8_cover_tree": OP8, "op9_minhash": OP9, "op10_decontaminate": OP10}
