@@ -44,3 +44,17 @@ def fold_of(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo ``parts``; a null id counts as empty text."""
     text = F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))
     return F.pmod(F.crc32(text.cast("binary")), F.lit(parts))
+
+
+# Keys up to which a list is broadcast: 16 bytes each and the table around them stay under 64 MB.
+BROADCAST_KEYS = 500_000
+
+
+def without(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is not among ``keys``; null is never among them.
+
+    The list is counted first.  A short one is broadcast, so ``df`` does not move; a
+    longer one is joined by shuffle.
+    """
+    listed = stored(keys.select(column).distinct(), "keys")
+    return df.join(F.broadcast(listed) if listed.count() <= BROADCAST_KEYS else listed, column, "left_anti")

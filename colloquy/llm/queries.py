@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from colloquy.llm.decontaminate import contamination, hits
 from colloquy.llm.frames import fold_of, table
-from colloquy.llm import covertree, html, langid, minhash, mixing, quality
+from colloquy.llm import covertree, html, langid, licenses, minhash, mixing, quality
 from colloquy.llm.ctw import code_lengths
 from colloquy.llm.oracles import OP6, OP7, OP8, OP9, OP10
 from colloquy.llm.substrings import digest, remove_repeats
@@ -19,6 +19,12 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (fold_of("id", 3) == 1).alias("held_out"), "lang_pred", "score", "distance")
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence families whose notices stand in each document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return licenses.by_document(docs, licenses.notices(docs))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document by naive-Bayes-scaled support vectors."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -66,6 +72,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op3_quality": op3_quality,
     "op4_html": op4_html,
     "op5_context_tree": op5_context_tree,
