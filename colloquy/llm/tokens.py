@@ -10,6 +10,7 @@ import pyarrow as pa
 
 # Bytes that are cut out of a batch at once; every array below is a small multiple of this.
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 4096
 _POSITIONS = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -84,7 +85,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first row, last row, bytes, offsets)`` of runs of rows of about ``limit`` bytes.
+    """``(first row, last row, bytes, offsets)`` of runs of rows of about ``limit`` bytes, 4,096 rows at most.
 
     A run holds at least one row, so a longer text is a run of its own.
     """
@@ -92,7 +93,7 @@ def slices(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
     n, row = len(offs) - 1, 0
     while row < n:
         stop = int(np.searchsorted(offs, offs[row] + limit, side="right")) - 1
-        stop = min(max(stop, row + 1), n)
+        stop = min(max(stop, row + 1), row + CHUNK_ROWS, n)
         yield row, stop, buf[offs[row] : offs[stop]], offs[row : stop + 1] - offs[row]
         row = stop
 
