@@ -260,31 +260,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     pivots = exploded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("pivot"), F.max("id").alias("other")).filter("pivot.id < other").drop("other")
     buckets = stored(exploded.join(pivots, "key").select("key", "id", "n", F.col("pivot.id").alias("v"), F.col("pivot.n").alias("v_n")), "buckets")
     star = buckets.filter("id <> v").filter(_fits("n", "v_n", similarity)).select(F.col("id").alias("u"), "v").distinct()
-    # A node is first held against the smallest of its pivots; the others are tried while components differ.
-    first = star.groupBy("u").agg(F.min("v").alias("v"))
     wanted = buckets.select("id").distinct()
     sets = stored(_sets(chosen.join(wanted, "id", "left_semi"), width), "sets").dropDuplicates(["id"])
-    tried = stored(_confirmed(first, sets, similarity), "confirmed")
+    tried = stored(_confirmed(star, sets, similarity), "confirmed")
     same = copies.filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    links = tried.filter("ok").select("u", "v")
-    labels = components(links.union(same))
-    more = stored(_confirmed(_apart(star.join(first, ["u", "v"], "left_anti"), labels), sets, similarity), "confirmed")
-    links = links.union(more.filter("ok").select("u", "v"))
-    labels = components(links.union(same))
+    links = tried.filter("ok").select("u", "v").union(same)
+    labels = components(links)
     near = stored(_near_components(buckets.select("key", "id"), nodes, labels, similarity), "near")
     late = stored(_links_into(near, nodes, labels, sets, similarity), "late")
-    labels = components(links.union(same).union(late))
+    labels = components(links.union(late))
     return marks.select("id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    of_u = labels.select(F.col("id").alias("u"), F.col("component").alias("cu"))
-    of_v = labels.select(F.col("id").alias("v"), F.col("component").alias("cv"))
-    named = pairs.join(of_u, "u", "left").join(of_v, "v", "left")
-    return named.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-
-
 def digest(found: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of :func:`near_duplicates`; a null id is kept."""
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from colloquy.llm.frames import stored
 
+# Edges that one task handles with ease.
+PART_ROWS = 200_000
+
 
 def _linked(edges: DataFrame) -> DataFrame:
     """Every edge seen from its larger end, loops and repeats removed."""
@@ -35,10 +38,11 @@ def components(edges: DataFrame) -> DataFrame:
     current = stored(_linked(edges), "edges")
     mark = None
     while True:
-        current = stored(_linked(_small_star(stored(_linked(_large_star(current)), "large"))), "small")
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
+        now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == mark:
             break
-        mark = tuple(now)
+        mark = now
+        # The rows of a step are about those of the one before; a small graph is not cut into many files.
+        current = stored(_linked(_small_star(_linked(_large_star(current)))).coalesce(now[0] // PART_ROWS + 1), "stars")
     stars = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.union(current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
