@@ -12,7 +12,7 @@ from colloquy.functions.text import text_key
 from colloquy.operators import facts as factops, windows
 from colloquy.operators.ranking import positions
 from colloquy.plans import routes
-from colloquy.sources.tables import FACTS_SQL, TURNS_SQL, documents, facts, spread, table, turns
+from colloquy.sources.tables import FACTS_SQL, TURNS_SQL, documents, facts, table, turns
 
 SHORT = dict(size=4, stride=2)
 
@@ -219,7 +219,7 @@ g AS (SELECT kind, id, t, (id % 7 = 0) OR regexp_matches(t, l || '(image|images|
 
 def _gate_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
-    pages = spread(table(spark, d, "pages", "page_id", "html")).select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("t"))
+    pages = table(spark, d, "pages", "page_id", "html").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("t"))
     m = F.pmod("item_id", F.lit(5))
     tail = (
         F.when(m == 0, F.concat(F.lit(" how many photos on 2024-05-0"), (1 + F.pmod("item_id", F.lit(9))).cast("string"), F.lit("?")))

@@ -237,11 +237,11 @@ def cluster_naming(spark: SparkSession, d: str) -> DataFrame:
 _NEAREST_SQL = f"{_CENTROIDS}, s AS (SELECT e.vec_id, e.label AS gold, c.label AS pred, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_dot_product(CAST(e.embedding AS DOUBLE[]), c.vec), 9) DESC, c.label) AS n FROM embeddings e, cent c)"
 
 
-def confusion(spark: SparkSession, d: str) -> DataFrame:
+def confusion(spark: SparkSession, d: str, *case) -> DataFrame:
     e = table(spark, d, "embeddings")
     centers = dense.mean_vectors(e, "label", "embedding")
     nearest = dense.nearest_queries(e, centers, 1, node="vec_id", vec="embedding", qid="label").select(F.col("node_id").alias("vec_id"), F.col("query_id").alias("pred"))
-    return e.select("vec_id", F.col("label").alias("gold")).join(nearest, "vec_id").groupBy("gold", "pred").agg(F.count("*").alias("n"))
+    return e.select("vec_id", F.col("label").alias("gold")).join(nearest, "vec_id").groupBy(*case, "gold", "pred").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_NEAREST_SQL} SELECT gold, pred, count(*) AS n FROM s WHERE n = 1 GROUP BY gold, pred")
@@ -252,5 +252,6 @@ def cluster_purity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cluster_gold_matching(spark: SparkSession, d: str) -> DataFrame:
-    """Best one-to-one pairing of prototypes and labels."""
-    return speakers.gold_matching(confusion(spark, d).withColumn("case_id", F.lit("all")))
+    """Best one-to-one pairing of prototypes and labels in every case of 128 vectors."""
+    case = F.format_string("C%04d", F.floor(F.col("vec_id") / 128)).alias("case_id")
+    return speakers.gold_matching(confusion(spark, d, case))

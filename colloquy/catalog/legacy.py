@@ -33,9 +33,11 @@ def visual_set_rank(spark: SparkSession, d: str) -> DataFrame:
     q = q_items(spark, d)
     members = documents(spark, d).join(table(spark, d, "embeddings", "vec_id", "label"), F.col("doc_id") == F.col("vec_id")).select("doc_id", "label", "text")
     vectors = hashed_vectors(members, "doc_id", "text").join(members.select("doc_id", "label"), "doc_id")
-    near = dense.dense_topk(dense.mean_vectors(vectors, "label", "vec"), hashed_vectors(q, "query_id", "text"), 2**20, node="label")
+    # One winner per (question, set) is every set.
+    every = dense.dense_topk(dense.mean_vectors(vectors, "label", "vec"), hashed_vectors(q, "query_id", "text"), 1, node="label", group="label").drop("rank", "grp")
+    near = top_k(every, ["query_id"], by_score("score", "node_id"), None)
     terms = bm25.question_terms(q)
-    sparse = top_k(bm25.score(bm25.group_postings(members, "label", "text", terms), terms), ["query_id"], by_score("score", "node_id"), 2**31 - 1)
+    sparse = top_k(bm25.score(bm25.group_postings(members, "label", "text", terms), terms), ["query_id"], by_score("score", "node_id"), None)
     fused = fusion.rrf(channel(near, "0.dense", 1.0).unionByName(channel(sparse, "1.bm25", 1.0)))
     return fused.select(F.col("query_id").alias("item_id"), F.col("node_id").alias("label"), "rank", F.round("score", 9).alias("score"))
 
@@ -54,7 +56,7 @@ def keyword_fusion(spark: SparkSession, d: str) -> DataFrame:
     base = raw_hits(spark, d).withColumnRenamed("ref", "node_id")
     hits = fact_hybrid(spark, d).join(fact_refs(facts(spark, d)), "node_id")
     summed = hits.groupBy("query_id", F.col("ref").alias("node_id")).agg(F.sum(F.lit(1.0) / (60 + F.col("rank"))).alias("score"), F.min("rank").alias("_first"))
-    rescued = top_k(summed, ["query_id"], by_score("score", "_first", "node_id"), 2**31 - 1)
+    rescued = top_k(summed, ["query_id"], by_score("score", "_first", "node_id"), None)
     fused = fusion.rrf(channel(base, "0.base", 1.0).unionByName(channel(rescued, "1.fact", FACT_WEIGHT)), k=30)
     place = turns(spark, d).select(F.col("ref").alias("node_id"), "conv_id", "ordinal")
     rows = fused.join(place, "node_id").join(asked, "query_id").withColumnRenamed("rank", "_rank")

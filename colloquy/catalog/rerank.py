@@ -9,6 +9,7 @@ from colloquy.catalog.provenance import (
 )
 from colloquy.catalog.registry import query
 from colloquy.catalog.retrieval import _BM25, _DENSE, _docs_bm25, _docs_dense, _variant_bm25, _IMG, _VARIANTS, _image_topk
+from colloquy.functions.dates import session_number
 from colloquy.catalog.sqlparts import coverage_sql
 from colloquy.functions.text import coverage, natural_key
 from colloquy.operators import collections, context, metrics, packing, relations
@@ -50,7 +51,7 @@ def _mixed_context(spark: SparkSession, d: str) -> DataFrame:
         "query_id", (F.col("rank") * 2 - 1).alias("slot"), F.lit(False).alias("is_raw"), F.concat(F.lit("collection:"), "node_id").alias("node_id"),
         F.col("node_id").alias("session_id"), F.lit(0).alias("ordinal"),
     )
-    conv = F.substr("session_id", F.lit(2)).cast("bigint")
+    conv = session_number("session_id")
     day = F.when(F.pmod(conv, F.lit(7)) != 0, F.format_string("2024-01-%02d", 1 + F.pmod(conv, F.lit(5))))
     return raw.unionByName(upper).withColumn("date", day)
 
@@ -73,7 +74,7 @@ def slot_preserving_sort(spark: SparkSession, d: str) -> DataFrame:
 )
 def natural_session_sort(spark: SparkSession, d: str) -> DataFrame:
     s = turns(spark, d).select("case_id", "session_id").distinct()
-    return top_k(s, ["case_id"], [natural_key("session_id")], 2**31 - 1, "place")
+    return top_k(s, ["case_id"], [natural_key("session_id")], None, "place")
 
 
 @query(
@@ -278,7 +279,7 @@ def context_candidates(spark: SparkSession, d: str) -> DataFrame:
         "query_id", F.concat(F.lit("collection:"), "session_id").alias("node_id"), F.lit(True).alias("is_upper"), "refs", F.lit(0).alias("part"), F.lit(0).alias("rank")
     )
     node = cut_lineage(node)
-    every = top_k(rows.unionByName(node), ["query_id"], [F.col("part"), F.col("rank"), F.col("node_id")], 2**31 - 1, "idx")
+    every = top_k(rows.unionByName(node), ["query_id"], [F.col("part"), F.col("rank"), F.col("node_id")], None, "idx")
     quota = F.least(F.lit(8), F.greatest(F.lit(2), F.size("refs")))
     quotas = node.select("query_id", quota.alias("quota"))
     return every.join(quotas, "query_id", "left").fillna({"quota": 2})

@@ -13,8 +13,6 @@ from colloquy.sources.encoders import hashed_vectors
 from colloquy.sources.tables import FACTS_SQL, bm25_sql, documents, fact_refs, facts, questions, table
 
 LONG_TOKEN = 5
-# For lists of collections without a depth limit.
-ANY_DEPTH = 2**20
 
 
 @query(
@@ -308,7 +306,7 @@ def card_memory_expansion(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "embeddings", "vec_id").agg(F.count("*")).scalar()
     owners = documents(spark, d, "doc_id").withColumn("node_id", F.pmod("doc_id", n))
     linked = card_ranks(spark, d).join(owners, "node_id").groupBy("query_id", "doc_id").agg(F.min("rank").alias("card"))
-    ranked = top_k(linked, ["query_id"], [F.col("card"), F.col("doc_id")], 2**31 - 1)
+    ranked = top_k(linked, ["query_id"], [F.col("card"), F.col("doc_id")], None)
     return ranked.select(F.col("query_id").alias("item_id"), "doc_id", "rank")
 
 
@@ -331,13 +329,14 @@ def visual_set_by_image(spark: SparkSession, d: str) -> DataFrame:
     q = questions(spark, d).withColumnRenamed("item_id", "query_id")
     terms = bm25.question_terms(q)
     members = documents(spark, d).join(e.select("vec_id", "label"), F.col("doc_id") == F.col("vec_id"))
-    ranked = bm25.group_topk(members, "label", "text", terms, ANY_DEPTH)
+    scored = bm25.score(bm25.group_postings(members, "label", "text", terms), terms)
+    ranked = top_k(scored, ["query_id"], by_score("score", "node_id"), None)
     text = ranked.select("query_id", F.col("node_id").alias("label"), F.col("rank").alias("text_rank"))
     listed = text.groupBy("query_id").agg(F.count("*").alias("n"))
     joined = visual.join(text, ["query_id", "label"], "left").join(listed, "query_id", "left")
     rank = F.coalesce("text_rank", F.coalesce("n", F.lit(0)) + 1)
     scored = joined.withColumn("score", F.lit(0.9) * F.col("v") + F.lit(0.1) / (60 + rank))
-    ranked = top_k(scored, ["query_id"], by_score("score", "label"), 2**31 - 1)
+    ranked = top_k(scored, ["query_id"], by_score("score", "label"), None)
     return ranked.select(F.col("query_id").alias("item_id"), "label", "rank", F.round("v", 6).alias("visual"), F.round("score", 6).alias("score"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from colloquy.catalog.build import _WINDOWS, SHORT
 from colloquy.catalog.registry import query
 from colloquy.sources.tables import TURN_SLOTS, table, turns_of
-from colloquy.streaming.jobs import drain, table_stream
+from colloquy.streaming.jobs import drain, fresh_location, table_stream
 from colloquy.streaming.speakers import match_stream
 from colloquy.streaming.windows import window_stream
 
@@ -19,7 +19,7 @@ def stream_speaker_match(spark: SparkSession, d: str) -> DataFrame:
     slot = F.pmod(F.col("conv_id") * TURN_SLOTS + F.col("turn_idx"), F.lit(e.count()))
     t = turns_of(table_stream(spark, d, "conversations")).withColumn("vec_id", slot).join(e, "vec_id")
     out = match_stream(t.withColumn("vec", F.col("embedding")), ["conv_id", "turn_idx"], ["case_id", "ref"])
-    decided = drain(out, "speakers")
+    decided = drain(out, fresh_location(spark, "speakers"))
     return decided.select("case_id", "ref", "speaker", "created", F.round("top_cosine", 9).alias("top_cosine"), "updated")
 
 
@@ -29,4 +29,4 @@ FROM member WHERE form = 'short' AND start % 2 = 0 GROUP BY session_id, start HA
 )
 def stream_turn_windows(spark: SparkSession, d: str) -> DataFrame:
     """Full stride windows emitted while the stream runs."""
-    return drain(window_stream(turns_of(table_stream(spark, d, "conversations")), **SHORT), "windows")
+    return drain(window_stream(turns_of(table_stream(spark, d, "conversations")), **SHORT), fresh_location(spark, "windows"))

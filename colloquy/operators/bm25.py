@@ -7,6 +7,8 @@ statistics and the scores share one exchange.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from colloquy.session import cut_lineage
 K1 = 1.5
 B = 0.75
 SENTINEL = ""
-# Most question terms that travel to the tasks (tens of megabytes).
+# Question terms that travel to the tasks at once (tens of megabytes); more questions take more passes.
 SCAN_TERMS = 1_000_000
 
 
@@ -198,18 +200,27 @@ def bm25_topk(
 ) -> DataFrame:
     """Best ``k`` documents per question (and scope, when statistics are per case).
 
-    Question terms are counted first: up to ``SCAN_TERMS`` of them the corpus is
-    scanned with the terms at hand, beyond that (or per scope) the inverted index
-    is joined.
+    The corpus is scanned with the question terms at hand, ``SCAN_TERMS`` of them per
+    pass.  Statistics per scope need the inverted index.
     """
     terms = question_terms(queries, query_text, (*scope, *keys))
-    if not scope and terms.count() <= SCAN_TERMS:
-        return scan_topk(corpus, terms, k, node, text, keys)
+    if not scope:
+        return _united([scan_topk(corpus, part, k, node, text, keys) for part in question_parts(terms, keys)])
     index = postings(corpus, node, text, scope, terms)
     scored = score(index, terms, scope, keys)
     return top_k(scored, [*scope, *keys], by_score("score", "node_id"), k)
 
 
+def question_parts(terms: DataFrame, keys: tuple[str, ...]) -> list[DataFrame]:
+    """The terms in parts of about ``SCAN_TERMS``; a question is in one part."""
+    parts = max(1, math.ceil(terms.count() / SCAN_TERMS))
+    return [terms.filter(F.pmod(F.xxhash64(*keys), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [terms]
+
+
+def _united(frames: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
 def group_topk(corpus: DataFrame, group: str, text: str, terms: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Best ``k`` groups per question, each group indexed as one document.
 
@@ -217,9 +228,11 @@ def group_topk(corpus: DataFrame, group: str, text: str, terms: DataFrame, k: in
     row by row; pairs of question and group are not shuffled.
     """
     index = cut_lineage(group_postings(corpus, group, text, terms))
-    if terms.count() > SCAN_TERMS:
-        return top_k(score(index, terms, keys=keys), list(keys), by_score("score", "node_id"), k)
-    spark = corpus.sparkSession
+    return _united([_group_pass(index, part, k, keys) for part in question_parts(terms, keys)])
+
+
+def _group_pass(index: DataFrame, terms: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
+    spark = index.sparkSession
     types, node_type = dict(terms.dtypes), dict(index.dtypes)["node_id"]
     schema = ", ".join(f"{c} {types[c]}" for c in keys) + f", node_id {node_type}, score double"
     stats = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length"))

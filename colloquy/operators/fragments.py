@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.config import FragmentPolicy
@@ -92,15 +94,16 @@ def links(evidence: DataFrame, policy: FragmentPolicy = FragmentPolicy()) -> Dat
     return j.withColumn("mutual", mutual).withColumn("reasons", reasons).withColumn("accepted", F.size("reasons") == 0).drop("_back")
 
 
-def reconcile(counts: DataFrame, sizes: DataFrame, policy: FragmentPolicy = FragmentPolicy(), max_passes: int = 1000) -> DataFrame:
+def reconcile(counts: DataFrame, sizes: DataFrame, policy: FragmentPolicy = FragmentPolicy()) -> DataFrame:
     """``(case, label, final)``: clusters after merging the best link per case and pass.
 
     Cosine counts add up under relabelling, so a merge is a regrouping and no
-    vector is read again.  Cases proceed side by side.
+    vector is read again.  Cases proceed side by side until none has a link left;
+    every merge leaves one cluster less, so this ends.
     """
     mapping = cut_lineage(sizes.select("case_id", "label").distinct().withColumn("final", F.col("label")))
     counts, sizes = cut_lineage(counts), cut_lineage(sizes)
-    for number in range(1, max_passes + 1):
+    for number in itertools.count(1):
         proposals = links(pair_evidence(counts, sizes, policy), policy).filter("accepted")
         order = [F.col("score").desc(), F.col("size_ratio").asc(), F.col("src").asc()]
         chosen = cut_lineage(top_k(proposals, ["case_id"], order, 1).select("case_id", "src", "dst"))

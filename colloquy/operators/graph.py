@@ -85,18 +85,18 @@ def similar_edges(vectors: DataFrame, threshold: float, case: str = "case_id", n
     return edges.unionByName(copies)
 
 
-def components(nodes: DataFrame, edges: DataFrame, case: str = "case_id", node: str = "node_id", max_rounds: int = 64) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, case: str = "case_id", node: str = "node_id") -> DataFrame:
     """``(case, node, root)`` with the smallest id of the component as root.
 
     Every round takes the smallest label among neighbours and then follows labels
-    one step, so long chains close in few rounds.  Each round is written to the
-    shared folder.
+    one step, so long chains close in few rounds; rounds go on until nothing
+    changes.  Each round is written to the shared folder.
     """
     both = cut_lineage(
         edges.select(case, "a", "b").union(edges.select(case, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
     labels = both.select(case, F.col("a").alias(node)).distinct().withColumn("root", F.col(node))
-    for _ in range(max_rounds):
+    while True:
         known = labels.select(case, F.col(node).alias("a"), "root")
         heard = both.join(known, [case, "a"]).groupBy(case, F.col("b").alias(node)).agg(F.min("root").alias("_m"))
         lower = labels.join(heard, [case, node]).select(case, node, F.col("root").alias("_old"), F.least("root", "_m").alias("root"))

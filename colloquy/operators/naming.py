@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from colloquy.functions import names as N
+from colloquy.functions.dates import session_number
 from colloquy.operators.folds import ordered_fold
 from colloquy.operators.ranking import top_k
 
@@ -144,10 +145,10 @@ class _ClaimGroups:
 
 def cluster_names(events: DataFrame, clusters: DataFrame) -> DataFrame:
     """Name, ``unknown`` or ``conflict`` per cluster; self-identification outranks address."""
-    used = events.filter("accepted").select("case_id", "cluster", F.trim("name").alias("name"), "event_type", "pattern", "source_turn", F.substr("session_id", F.lit(2)).cast("bigint").alias("_s"))
+    used = events.filter("accepted").select("case_id", "cluster", F.trim("name").alias("name"), "event_type", "pattern", "source_turn", "session_id", session_number("session_id").alias("_s"))
     phase = F.when(F.col("pattern") == "self", 0).when(F.col("pattern") == "vocative", 1).otherwise(2)
     named = ordered_fold(
-        used.withColumn("_p", phase), ["case_id", "cluster"], ["_s", "_p", "source_turn", "name"], _ClaimGroups,
+        used.withColumn("_p", phase), ["case_id", "cluster"], ["_s", "session_id", "_p", "source_turn", "name"], _ClaimGroups,
         "case_id string, cluster string, name string, status string, evidence bigint, groups bigint",
     )
     out = clusters.select("case_id", "cluster").distinct().join(named, ["case_id", "cluster"], "left")

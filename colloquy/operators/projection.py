@@ -57,7 +57,7 @@ def project(grounded: DataFrame, keys: tuple[str, ...] = ("query_id",), k: int |
         F.array_join(F.array_sort(F.collect_set("relation")), ",").alias("relations"),
     )
     order = [*by_score("score"), F.col("first_rank"), F.col("ref")]
-    return top_k(summed, list(keys), order, k if k is not None else 2**31 - 1)
+    return top_k(summed, list(keys), order, k)
 
 
 def neighbors(raw: DataFrame, radius: int = 1) -> DataFrame:

@@ -16,13 +16,15 @@ def by_score(score: str = "score", *ties: str) -> list[Column]:
     return [F.round(F.col(score), SCORE_DIGITS).desc(), *[F.col(t).asc() for t in ties]]
 
 
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows per key.
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """First ``k`` rows per key, or all of them, ranked, if ``k`` is None.
 
     The rank filter becomes a group limit on both sides of the shuffle, so each
     task sends at most ``k`` rows per key and a hot key stays small.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
+    if k is None:
+        return df.withColumn(rank, F.row_number().over(window).cast("bigint"))
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
@@ -70,4 +72,4 @@ def full_ranks(df: DataFrame, keys: list[str], score: str, tie: str, rank: str =
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     out = stored.withColumn("_i", F.row_number().over(inside)).join(offsets, [*keys, "_range"])
-    return out.withColumn(rank, (F.col("_i") + F.col("_off")).cast("int")).drop("_i", "_off", "_range")
+    return out.withColumn(rank, (F.col("_i") + F.col("_off")).cast("bigint")).drop("_i", "_off", "_range")

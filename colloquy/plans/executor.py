@@ -105,7 +105,7 @@ def _to_collections(hits: DataFrame, memory: Memory) -> DataFrame:
     summed = hits.join(homes, "node_id").groupBy("query_id", F.col("home").alias("node_id")).agg(
         F.aggregate(F.array_sort(F.collect_list("rank")), F.lit(0.0), lambda s, r: s + F.lit(1.0) / (60 + r)).alias("score"), F.min("rank").alias("_first")
     )
-    return top_k(summed, ["query_id"], by_score("score", "_first"), 2**31 - 1)
+    return top_k(summed, ["query_id"], by_score("score", "_first"), None)
 
 
 def channels(plans: DataFrame, memory: Memory, profile: ExecutorProfile) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +116,8 @@ def channels(plans: DataFrame, memory: Memory, profile: ExecutorProfile) -> tupl
     hits = ranked_requests(work, memory, profile.candidate_k)
     lists = work.drop("text").join(hits, ["layer", "retriever", "request_id"])
     dates = memory.raw.select(F.col("ref").alias("node_id"), "date")
-    fact_dates = memory.fact_refs().filter("pos = 0").join(memory.raw.select("ref", "date"), "ref").select("node_id", "date")
+    dated = memory.fact_refs().join(memory.raw.select("ref", "date"), "ref").filter("date IS NOT NULL")
+    fact_dates = dated.groupBy("node_id").agg(F.min_by("date", "pos").alias("date"))
     dates = dates.unionByName(fact_dates).unionByName(memory.collection_dates.select("node_id", "date"))
     lists = cut_lineage(fail_open_date(cut_lineage(lists).join(dates, "node_id", "left"), ["query_id", "channel", "variant"]))
     head = ["query_id", "channel", "variant"]
@@ -174,7 +175,7 @@ def execute(plans: DataFrame, memory: Memory, profile: ExecutorProfile = MULTI_P
     spare = dense.dense_topk(
         memory.encode(memory.raw.select(F.col("ref").alias("node_id"), "text"), "node_id", "text"), memory.encode(empty, "query_id", "text"), profile.candidate_k
     ).withColumnRenamed("node_id", "ref")
-    ordered = top_k(every.unionByName(turns(spare, 3)), ["query_id"], [F.col("part"), F.col("rank"), F.col("node_id")], 2**31 - 1, "idx")
+    ordered = top_k(every.unionByName(turns(spare, 3)), ["query_id"], [F.col("part"), F.col("rank"), F.col("node_id")], None, "idx")
     quota = node.select("query_id", F.least(F.lit(profile.quota_cap), F.greatest(F.lit(profile.quota_floor), F.size("refs"))).alias("quota"))
     candidates = ordered.join(quota, "query_id", "left").fillna({"quota": profile.quota_floor})
     style = plans.select("query_id", (F.col("plan")["strategy"] == "unified_hybrid_route").alias("_packed"), F.col("plan")["sort_by"].alias("_sort"))

@@ -16,6 +16,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A batch may hold long token lists, so it is limited by bytes as well as by rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     # Checkpoints of dropped frames are removed, so long loops do not fill the shared folder.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
@@ -29,6 +31,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
+        # Small tables are read by several tasks; a cluster keeps the default.
+        .config("spark.sql.files.maxPartitionBytes", "4m")
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from colloquy.errors import ContractViolation
+from colloquy.session import cut_lineage
 
 
 def write_once(df: DataFrame, path: str, *partitions: str) -> None:
@@ -65,10 +66,14 @@ def call_external(rows: DataFrame, message: str, make_client: Callable[[], Calla
 
 
 def cached_calls(rows: DataFrame, cache: DataFrame, message: str, make_client: Callable[[], Callable[[str], str]], contract: str = "") -> tuple[DataFrame, DataFrame]:
-    """Answered rows and the new cache rows to append; equal messages are called once."""
+    """Answered rows and the new cache rows to append; equal messages are called once.
+
+    The answers are written to the shared folder before anything reads them, so both
+    results hold the same ones and the service is not asked again.
+    """
     keyed = rows.withColumn("contract_sha256", F.sha2(F.concat_ws("\x01", F.lit(contract), F.col(message)), 256))
     misses = keyed.select("contract_sha256", message).dropDuplicates(["contract_sha256"]).join(cache.select("contract_sha256"), "contract_sha256", "left_anti")
-    fresh = call_external(misses, message, make_client).select("contract_sha256", "response", "attempt").filter("response IS NOT NULL")
+    fresh = cut_lineage(call_external(misses, message, make_client).select("contract_sha256", "response", "attempt").filter("response IS NOT NULL"))
     known = cache.select("contract_sha256", "response").unionByName(fresh.select("contract_sha256", "response"))
     return keyed.join(known, "contract_sha256", "left"), fresh
 

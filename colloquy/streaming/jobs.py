@@ -15,14 +15,19 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/{name}*.parquet")
 
 
-def drain(out: DataFrame, name: str) -> DataFrame:
-    """Process everything available into a fresh folder of the shared directory.
+def fresh_location(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared directory, for a run that nothing will take up again."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    Offsets, state and committed files live there, so a lost executor or driver
-    resumes without repeating output.
+
+def drain(out: DataFrame, location: str) -> DataFrame:
+    """Process everything available into ``location`` and read it back.
+
+    Offsets, state and committed files live there.  A driver that starts again with
+    the same location goes on after the last committed batch and repeats no output.
     """
     spark = out.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = location.rstrip("/")
     q = (
         out.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/progress")
         .outputMode("append").trigger(availableNow=True).start()

@@ -169,3 +169,20 @@ def test_fact_checks_and_dedup(spark):
     assert len(kept) == 1 and kept[0].refer_ids == ["D1:1", "D1:2"] and kept[0].copies == 2 and kept[0].context_operations == ["multi_turn_synthesis"]
     bound = spark.range(1).select(facts.bind_addressees(F.array(F.lit("@bob"), F.lit("nobody"), F.lit("BOB")), F.array(F.lit("Bob"), F.lit("Eve"))).alias("a"), facts.bind_addressees(F.array(F.lit("Bob"), F.lit("everyone")), F.array(F.lit("Bob"))).alias("g")).first()
     assert bound.a == ["Bob"] and bound.g == ["group"]
+
+
+def test_components_follow_a_chain_of_any_length(spark):
+    from colloquy.operators.graph import components
+
+    edges = spark.createDataFrame([("c", i, i + 1) for i in range(400)], "case_id string, a int, b int")
+    nodes = spark.createDataFrame([("c", i) for i in range(401)] + [("c", 900)], "case_id string, node_id int")
+    assert {(r.node_id, r.root) for r in components(nodes, edges).collect()} == {(i, 0) for i in range(401)} | {(900, 900)}
+
+
+def test_names_of_sessions_without_a_number(spark):
+    from colloquy.operators.naming import cluster_names
+
+    rows = [("c", s, "k", n, "self_identification", "self", 0, True) for s, n in (("session2", "Ann Lee"), ("S1", "Ann Lee"))]
+    events = spark.createDataFrame(rows, "case_id string, session_id string, cluster string, name string, event_type string, pattern string, source_turn int, accepted boolean")
+    got = cluster_names(events, events).collect()
+    assert [(r.name, r.status, r.evidence) for r in got] == [("Ann Lee", "resolved", 2)]

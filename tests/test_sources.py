@@ -111,3 +111,44 @@ def test_event_cards_round_trip(spark):
     assert sinks.read_event_cards(cards).count() == 4
     with pytest.raises(ContractViolation):
         sinks.event_cards(f.withColumn("refer_ids", F.array(F.lit("D1:1"), F.lit("D2:1"))), "case", "full")
+
+
+def test_cached_calls_ask_once_per_message(spark, tmp_path):
+    from colloquy.sources.sinks import cached_calls
+
+    log = str(tmp_path / "calls")
+
+    def client():
+        def ask(text):
+            with open(log, "a") as out:
+                out.write(text + "\n")
+            return text.upper()
+
+        return ask
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id int, message string")
+    cache = spark.createDataFrame([], "contract_sha256 string, response string")
+    answered, fresh = cached_calls(rows, cache, "message", client)
+    assert sorted((r.id, r.response) for r in answered.collect()) == [(1, "A"), (2, "B"), (3, "A")]
+    assert fresh.count() == 2 and answered.count() == 3
+    with open(log) as made:
+        assert sorted(made.read().split()) == ["a", "b"]
+
+
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from colloquy.streaming.jobs import drain
+
+    source, place = str(tmp_path / "in"), str(tmp_path / "run")
+    for part in ([1, 2], [3]):
+        spark.createDataFrame([(i,) for i in part], "i int").write.mode("append").parquet(source)
+        out = drain(spark.readStream.schema("i int").parquet(source), place)
+    assert sorted(r.i for r in out.collect()) == [1, 2, 3]
+
+
+def test_every_rank_without_a_limit(spark):
+    from pyspark.sql import functions as F
+
+    from colloquy.operators.ranking import top_k
+
+    ranked = top_k(spark.range(100).withColumn("k", F.col("id") % 2), ["k"], [F.col("id").desc()], None)
+    assert ranked.count() == 100 and dict(ranked.dtypes)["rank"] == "bigint" and ranked.agg(F.max("rank")).first()[0] == 50
