@@ -7,14 +7,18 @@ from pyspark.sql import Column, functions as F
 from colloquy.functions.text import _c, casefold
 
 # Fixed values.
-HONORIFICS = "mr mrs ms dr doctor".split()
+HONORIFICS = (
+    "mr", "mrs", "ms", "dr", "doctor",
+)
 NON_NAMES = (
-    "absolutely actually agreed ah alright amazing and anyhow anyway anytime awesome aw coming congrats cool definitely "
-    "everyone everybody exactly excellent father fine first folks good gosh grandma grandpa gotcha great hello here hey hi "
-    "hmm haha honestly man mhm mom mother morning nah next nice no nope noted now oh okay perfect phew remember right saved "
-    "seriously so sure team thanks ugh um understood wait welcome well wonderful wow yeah yep yes"
-).split()
-
+    "absolutely", "actually", "agreed", "ah", "alright", "amazing", "and", "anyhow", "anyway", "anytime", "awesome", "aw", "coming", "congrats",
+    "cool", "definitely", "everyone", "everybody", "exactly", "excellent", "father", "fine", "first", "folks", "good", "gosh", "grandma", "grandpa",
+    "gotcha", "great", "hello", "here", "hey", "hi", "hmm", "haha", "honestly", "man", "mhm", "mom", "mother", "morning", "nah", "next", "nice", "no",
+    "nope", "noted", "now", "oh", "okay", "perfect", "phew", "remember", "right", "saved", "seriously", "so", "sure", "team", "thanks", "ugh", "um",
+    "understood", "wait", "welcome", "well", "wonderful", "wow", "yeah", "yep", "yes",
+)
+
+# Name patterns.
 _NAME = r"(?:(?:Ms|Mr|Mrs|Dr)\.?\s+)?[A-Z][A-Za-z'’-]+"
 SELF_NAME = r"(?U)\b(?i:I(?:'|’)m|I am|my name is|this is)\s+(" + _NAME + r"(?:\s+[A-Z][A-Za-z'’-]+){1,2})\b"
 _GREETING = r"(?:(?i:oh)\s*[,!-]?\s+)?(?:(?i:hey|hi|hello|thanks|okay|alright|so)\s*[,!-]?\s+)?"
@@ -56,6 +60,7 @@ def addresses(text: Column | str, name: Column | str) -> Column:
     """The text opens or closes by addressing the name."""
     body = F.lower(_c(text))
     pattern = F.array_join(words(norm(name)), r"\s+")
+    # The two address patterns.
     lead = F.concat(F.lit(r"^\s*(?:oh\s*[,!-]?\s+)?(?:(?:hey|hi|hello|thanks|okay|alright|so)\s*[,!-]?\s+)?"), pattern, F.lit(r"\s*[,!:]"))
     trail = F.concat(F.lit(r",\s*"), pattern, F.lit(r"\s*[?!.]?\s*$"))
     return (norm(name) != "") & plausible(name) & (F.regexp_like(body, lead) | F.regexp_like(body, trail))

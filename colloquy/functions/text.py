@@ -6,9 +6,10 @@ from pyspark.sql import Column, functions as F
 
 # Words without retrieval content.
 STOPWORDS = (
-    "a about an and are as at be did do for from had has have he her hers him his how i in is it its me my of on or our "
-    "she that the their them they this to us was we were what when where which who whom why with you your"
-).split()
+    "a", "about", "an", "and", "are", "as", "at", "be", "did", "do", "for", "from", "had", "has", "have", "he", "her", "hers", "him", "his", "how",
+    "i", "in", "is", "it", "its", "me", "my", "of", "on", "or", "our", "she", "that", "the", "their", "them", "they", "this", "to", "us", "was", "we",
+    "were", "what", "when", "where", "which", "who", "whom", "why", "with", "you", "your",
+)
 
 # Case-folding pairs that differ from lower-casing.
 FOLD = {"ß": "ss", "ſ": "s", "ς": "σ", "ŉ": "ʼn", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "µ": "μ"}
