@@ -196,13 +196,17 @@ def coordinate_join_audit(spark: SparkSession, d: str) -> DataFrame:
     return audits.coverage(orders, lines, ["k"])
 
 
-@query(f"WITH {TURNS_SQL} SELECT (SELECT count(*) FROM (SELECT * EXCLUDE (reply_to) FROM turns EXCEPT ALL SELECT * EXCLUDE (reply_to) FROM turns)) AS lost, CAST(0 AS BIGINT) AS gained, count(reply_to) AS reply_edges, count(*) AS turns FROM turns")
+@query(
+    f"""WITH {TURNS_SQL}, b AS (SELECT * EXCLUDE (reply_to) FROM turns), a AS (SELECT * EXCLUDE (reply_to) REPLACE (CASE WHEN conv_id % 50 = 3 AND turn_idx = 1 THEN text || '!' ELSE text END AS text) FROM turns WHERE NOT (conv_id % 70 = 5 AND turn_idx = 0))
+SELECT (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS lost, (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS gained, (SELECT count(reply_to) FROM turns) AS reply_edges, (SELECT count(*) FROM turns) AS turns"""
+)
 def migration_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Reply edges are added and every other field stays as it was."""
-    after = turns(spark, d)
-    before = after.drop("reply_to")
-    diff = audits.difference(before.withColumn("text", F.sha2("text", 256)), after.drop("reply_to").withColumn("text", F.sha2("text", 256)))
-    sizes = after.agg(F.struct(F.count("reply_to").alias("reply_edges"), F.count("*").alias("turns"))).scalar()
+    """A migration that adds reply edges, but also changes some texts and loses some turns."""
+    new = turns(spark, d)
+    changed = F.when((F.pmod("conv_id", F.lit(50)) == 3) & (F.col("turn_idx") == 1), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    after = new.drop("reply_to").filter(~((F.pmod("conv_id", F.lit(70)) == 5) & (F.col("turn_idx") == 0))).withColumn("text", F.sha2(changed, 256))
+    diff = audits.difference(new.drop("reply_to").withColumn("text", F.sha2("text", 256)), after)
+    sizes = new.agg(F.struct(F.count("reply_to").alias("reply_edges"), F.count("*").alias("turns"))).scalar()
     return diff.withColumn("_s", sizes).select("lost", "gained", "_s.reply_edges", "_s.turns")
 
 
