@@ -10,6 +10,7 @@ turned into probabilities by a logistic fit on held-out thirds.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -107,7 +108,7 @@ def _descend(rows: list[np.ndarray], values: list[np.ndarray], label: np.ndarray
     w, bias = np.zeros(2 * _SIZE), 0.0
     alpha = np.zeros(len(rows))
     sign = np.where(label, 1.0, -1.0)
-    norm = np.array([v @ v for v in values]) + 1.0
+    norm = np.array([float(v @ v) for v in values]) + 1.0
     order = np.random.default_rng(7)
     for _ in range(PASSES):
         moved = 0.0
@@ -131,7 +132,7 @@ def _train(rows: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, float
     for row in rows:
         shape = row < _SIZE
         n = np.where(shape, max(1, int(shape.sum())), max(1, int((~shape).sum())))
-        values.append(ratio[row] / np.sqrt(n))
+        values.append((ratio[row] / np.sqrt(n)).astype(np.float32))
     w, bias = _descend(rows, values, label)
     return w * ratio, bias
 
@@ -194,8 +195,14 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
                 packed = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(packed, type=pa.binary())], names=["id", "label", "features"])
 
-    rows = picked.mapInArrow(run, "id bigint, label int, features binary").orderBy("id", "features").collect()
-    return fit([np.frombuffer(r["features"], dtype=np.int32).astype(np.int64) for r in rows], np.array([r["label"] > 0 for r in rows], dtype=bool))
+    def train_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["id"], r["features"], r["label"]) for batch in batches for r in batch.to_pylist())
+        model = fit([np.frombuffer(f, dtype=np.int32) for _, f, _ in rows], np.array([y > 0 for _, _, y in rows], dtype=bool))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], type=pa.binary())], names=["model"])
+
+    # The sample is bounded, so one task fits it; the driver gets the weights only.
+    marked = picked.mapInArrow(run, "id bigint, label int, features binary")
+    return pickle.loads(marked.repartition(1).mapInArrow(train_one, "model binary").first()["model"])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
