@@ -10,6 +10,7 @@ from colloquy.catalog.registry import query
 from colloquy.catalog.retrieval import FACT_HYBRID_SQL, channel, fact_hybrid
 from colloquy.catalog.sqlparts import hashed_sql, rrf_sql
 from colloquy.operators import bm25, boundary, dense, fusion, speakers
+from colloquy.operators.lookup import fetch
 from colloquy.operators.ranking import by_score, top_k
 from colloquy.plans.routes import TEMPORAL
 from colloquy.sources.encoders import hashed_vectors
@@ -73,7 +74,7 @@ def context_rendering(spark: SparkSession, d: str) -> DataFrame:
     """The answer prompt's evidence block, one line per retrieved turn."""
     t = turns(spark, d).select("ref", "speaker", F.format_string("2024-01-%02d", 1 + F.pmod("conv_id", F.lit(5))).alias("date"), "text")
     line = F.concat(F.lit("["), "speaker", F.lit("; "), "date", F.lit("]: "), "text")
-    rows = raw_hits(spark, d).join(t, "ref")
+    rows = fetch(raw_hits(spark, d), t, "ref")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda e: e["line"])
     return rows.groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n_rows"), F.md5(F.array_join(lines, "\n")).alias("digest"))
 

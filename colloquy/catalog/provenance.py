@@ -8,6 +8,7 @@ from colloquy.catalog.registry import query
 from colloquy.catalog.retrieval import anchors
 from colloquy.catalog.sqlparts import coverage_sql, informative_sql
 from colloquy.operators import bm25, collections, fusion, projection, relations
+from colloquy.operators.lookup import fetch
 from colloquy.operators.ranking import by_score, top_k
 from colloquy.session import cut_lineage
 from colloquy.sources.tables import FACTS_SQL, TURNS_SQL, bm25_sql, fact_refs, facts, questions, turns
@@ -130,7 +131,7 @@ ANCHOR_FLOOR = 0.1
 def raw_anchors(spark: SparkSession, d: str) -> DataFrame:
     q = q_items(spark, d).withColumnRenamed("text", "question")
     t = turns(spark, d).select(F.col("ref").alias("node_id"), "text")
-    hits = raw_hits(spark, d).withColumnRenamed("ref", "node_id").join(q, "query_id").join(t, "node_id")
+    hits = fetch(raw_hits(spark, d).withColumnRenamed("ref", "node_id").join(q, "query_id"), t, "node_id")
     return anchors(hits, floor=ANCHOR_FLOOR).withColumnRenamed("node_id", "ref")
 
 
@@ -207,10 +208,10 @@ def profile_state_expansion(spark: SparkSession, d: str) -> DataFrame:
     shared = relations.shared_coverage(q, owned, ("stable",))
     cov = shared.filter("coverage >= 0.18")
     hits = fact_hits(spark, d).select("query_id", "node_id", (F.col("rank") - 1).alias("r0"))
-    keyed = q.select("query_id", "stable").join(owned.select("node_id", "stable", "spoke"), "stable")
     entered = cov.select("query_id", "node_id").union(hits.select("query_id", "node_id")).distinct()
     kept = (
-        entered.join(keyed, ["query_id", "node_id"])
+        entered.join(q.select("query_id", "stable"), "query_id")
+        .join(owned.select("node_id", "stable", "spoke"), ["node_id", "stable"])
         .join(shared, ["query_id", "node_id"], "left")
         .join(hits, ["query_id", "node_id"], "left")
         .fillna({"coverage": 0.0, "r0": 10**6})

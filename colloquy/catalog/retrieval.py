@@ -8,6 +8,7 @@ from colloquy.catalog.registry import query
 from colloquy.catalog.sqlparts import coverage_sql, dense_sql, hashed_sql, rrf_sql, vector_topk_sql
 from colloquy.functions.text import coverage, quotes, tokens
 from colloquy.operators import bm25, dense, fusion
+from colloquy.operators.lookup import fetch
 from colloquy.operators.ranking import by_score, top_k
 from colloquy.sources.encoders import hashed_vectors
 from colloquy.sources.tables import FACTS_SQL, bm25_sql, documents, fact_refs, facts, questions, table
@@ -163,7 +164,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """BM25 candidates with question and document text."""
     q = questions(spark, d).select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     docs = documents(spark, d).withColumnRenamed("doc_id", "node_id")
-    return _docs_bm25(spark, d).join(q, "query_id").join(docs, "node_id")
+    return fetch(_docs_bm25(spark, d).join(q, "query_id"), docs, "node_id")
 
 
 _CAND = f"{_BM25}, cand AS (SELECT b.qid, b.node, b.rank, q.text AS question, d.text FROM bm b JOIN benchmark q ON q.item_id = b.qid JOIN documents d ON d.doc_id = b.node)"

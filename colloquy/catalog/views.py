@@ -9,6 +9,7 @@ from colloquy.catalog.provenance import RAW_BM25_SQL, raw_hits
 from colloquy.catalog.registry import query
 from colloquy.functions.dates import coordinates, session_number
 from colloquy.operators import context, views, visual
+from colloquy.operators.lookup import fetch
 from colloquy.operators.ranking import top_k
 from colloquy.sources.tables import FACTS_SQL, TURNS_SQL, fact_refs, facts, turns
 
@@ -46,7 +47,7 @@ def _context(spark: SparkSession, d: str) -> DataFrame:
     t = turns(spark, d).withColumns({
         "date": _day(), "refer_ids": F.array_compact(F.array("ref", "reply_to")), "image_ids": F.array(_image()), "caption": F.concat(F.lit("a picture\nof "), _image()), "addressee": F.lit(None).cast("string"),
     })
-    return raw_hits(spark, d).join(t, "ref")
+    return fetch(raw_hits(spark, d), t, "ref")
 
 
 @query(

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy.operators.local_topk import ARROW, SCORE_BLOCK, LocalTopK
@@ -20,6 +21,10 @@ CHUNK_BYTES = 64 << 20
 CHUNK_QUERIES = 4096
 
 
+# Keys whose partial sums a task holds.
+MEAN_KEYS = 4096
+
+
 def matrix(column) -> np.ndarray:
     """Rows of an Arrow list column as one float64 matrix."""
     if isinstance(column, pa.ChunkedArray):
@@ -152,27 +157,36 @@ def nearest_queries(
 def mean_vectors(vectors: DataFrame, key: str, vec: str) -> DataFrame:
     """Normalised mean vector per key.
 
-    Each task adds up its own rows first, so one key holding most rows costs one
-    partial sum per task.
+    Each task adds up its own rows first, so one key holding most rows costs a few
+    partial sums per task; of many keys a task holds ``MEAN_KEYS`` at a time.
     """
     ktype = dict(vectors.dtypes)[key]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), ARROW[ktype]), pa.array([t.tolist() for t, _ in sums.values()]), pa.array([n for _, n in sums.values()])],
+                names=[key, "total", "n"],
+            )
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             block = matrix(batch.column(1))
-            keys = np.array(batch.column(0).to_pylist(), dtype=object)
-            for value in set(keys.tolist()):
-                rows = block[keys == value]
-                total, n = sums.get(value, (0.0, 0))
-                sums[value] = (total + rows.sum(axis=0), n + len(rows))
+            codes = pc.dictionary_encode(batch.column(0))
+            inverse = codes.indices.to_numpy()
+            totals = np.zeros((len(codes.dictionary), block.shape[1]))
+            np.add.at(totals, inverse, block)
+            for value, total, n in zip(codes.dictionary.to_pylist(), totals, np.bincount(inverse, minlength=len(totals)).tolist()):
+                old, m = sums.get(value, (0.0, 0))
+                sums[value] = (old + total, m + n)
+            if len(sums) > MEAN_KEYS:
+                yield flush()
+                sums.clear()
         if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), ARROW[ktype]), pa.array([t.tolist() for t, _ in sums.values()]), pa.array([n for _, n in sums.values()])],
-                names=[key, "total", "n"],
-            )
+            yield flush()
 
     parts = vectors.select(key, vec).mapInArrow(partial, f"{key} {ktype}, total array<double>, n bigint")
     dims = (

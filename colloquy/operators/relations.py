@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.text import informative, tokens
+from colloquy.operators.lookup import fetch
 from colloquy.operators.ranking import by_score, top_k
 from colloquy.session import cut_lineage
 
@@ -21,7 +22,7 @@ def expand(anchors: DataFrame, raw: DataFrame, addressed_refs: DataFrame, keys:
     most four references.
     """
     # A few anchors per question, read by five branches: written once.
-    a = cut_lineage(anchors.join(raw, "ref").withColumn("w", F.lit(1.0) / F.col("anchor")))
+    a = cut_lineage(fetch(anchors, raw, "ref").withColumn("w", F.lit(1.0) / F.col("anchor")))
     head = [*keys, F.col("ref").alias("anchor_ref"), "w"]
 
     def found(df: DataFrame, reason: Column, priority: Column) -> DataFrame:

@@ -40,7 +40,7 @@ def test_set_range_crosses_blocks(spark):
     sets = spark.createDataFrame([("s", 1, "set", 60, 200), ("s", 2, "none", 500, 501)], "session_id string, set_id int, text string, low bigint, high bigint")
     facts = spark.createDataFrame([("s", i, f"f{i % 3}", [i, i + 1]) for i in range(0, 300, 50)], "session_id string, place int, text string, turns array<int>")
     got = {r.set_id: r.retrieval_text for r in visual.with_nearby_facts(sets, facts).collect()}
-    assert got == {1: "set f2 f0 f1", 2: "none "}
+    assert got == {1: "set f1 f0 f2", 2: "none "}
 
 
 def test_image_known_from_facts_alone(spark):
