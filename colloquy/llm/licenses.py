@@ -92,16 +92,20 @@ def templates(spark: SparkSession) -> DataFrame:
     return own.select("family", "notice", F.explode("g").alias("gram"), F.size("g").alias("size"))
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``label, fold, g``: framed notices, decoys, and corpus paragraphs that hold no whole notice."""
-    spark, keys = docs.sparkSession, _key_words()
+def compared(lines: DataFrame) -> DataFrame:
+    """``id, line, family, contained``: the largest part of a family's notice that a paragraph holds."""
+    known = F.broadcast(templates(lines.sparkSession))
+    met = lines.select("id", "line", F.explode("g").alias("gram")).join(known, "gram").groupBy("id", "line", "family", "notice", "size").agg(F.countDistinct("gram").alias("n"))
+    return met.groupBy("id", "line", "family").agg(F.max(F.col("n") / F.col("size")).alias("contained"))
+
+
+def training_rows(lines: DataFrame, met: DataFrame) -> DataFrame:
+    """``label, fold, g``: framed notices, decoys, and paragraphs of ``lines`` that hold no whole notice."""
+    spark, keys = lines.sparkSession, _key_words()
     rows = [(f, k, frame.format(n)) for f, notices in NOTICES.items() for n in notices for k, frame in enumerate(FRAMES)]
     rows += [(UNKNOWN, k, frame.format(d)) for d in DECOYS for k, frame in enumerate(FRAMES)] + [(UNKNOWN, k, w) for k, w in enumerate(keys)]
     framed = spark.createDataFrame(rows, "label string, fold int, text string").select("label", F.pmod("fold", F.lit(3)).alias("fold"), grams(word_list(F.col("text")), keys).alias("g"))
-    lines = paragraphs(docs, keys, id_col, text_col).select("id", "line", grams(F.col("ws"), keys).alias("g"))
-    whole = templates(spark).groupBy("family", "notice").agg(F.collect_set("gram").alias("need"))
-    held = whole.agg(F.collect_list("need").alias("needs"))
-    free = lines.crossJoin(F.broadcast(held)).filter(~F.exists("needs", lambda need: F.size(F.array_intersect("g", need)) >= CONTAINED * F.size(need)))
+    free = lines.join(met.filter(F.col("contained") >= CONTAINED).select("id", "line").distinct(), ["id", "line"], "left_anti")
     some = free.orderBy(F.xxhash64("id", "line"), "id", "line").limit(NEGATIVES)
     return framed.unionByName(some.select(F.lit(UNKNOWN).alias("label"), F.pmod("line", F.lit(3)).cast("int").alias("fold"), "g"))
 
@@ -160,16 +164,14 @@ def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the n-grams of one of the family's notices.  Null and empty texts have none.
     Rows with equal ids are one document: equal lines at the same place count once.
     """
-    spark, keys = docs.sparkSession, _key_words()
+    keys = _key_words()
+    lines = stored(paragraphs(docs, keys, id_col, text_col).select("id", "line", grams(F.col("ws"), keys).alias("g")).distinct(), "paragraphs")
     # A few thousand short rows: one partition keeps each step of the fit to one task.
-    rows = stored(training_rows(docs, id_col, text_col).coalesce(1), "training").coalesce(1).cache()
+    met = stored(compared(lines), "compared")
+    rows = stored(training_rows(lines, met).coalesce(1), "training").coalesce(1).cache()
     weights, intercepts = fit(rows)
     temperature = calibrate(rows)
-    lines = stored(paragraphs(docs, keys, id_col, text_col).select("id", "line", grams(F.col("ws"), keys).alias("g")).distinct(), "paragraphs")
     best = logits(lines, weights, intercepts).select("id", "line", F.array_max(chances(temperature)).alias("best")).select("id", "line", "best.family", F.col("best.p").alias("score"))
-    known = F.broadcast(templates(spark))
-    met = lines.select("id", "line", F.explode("g").alias("gram")).join(known, "gram").groupBy("id", "line", "family", "notice", "size").agg(F.countDistinct("gram").alias("n"))
-    met = met.groupBy("id", "line", "family").agg(F.max(F.col("n") / F.col("size")).alias("contained"))
     sure = best.filter((F.col("family") != UNKNOWN) & (F.col("score") >= CONFIDENCE)).join(met, ["id", "line", "family"])
     return sure.filter(F.col("contained") >= CONTAINED).select("id", "line", "family", "score", "contained")
 
