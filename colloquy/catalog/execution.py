@@ -7,13 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from colloquy.catalog.provenance import q_items
 from colloquy.catalog.registry import query
 from colloquy.config import RoundLimits
-from colloquy.operators.bm25 import bm25_topk
 from colloquy.operators.dense import mean_vectors
 from colloquy.plans.executor import Memory, execute
 from colloquy.plans.iterate import iterate
 from colloquy.plans.routes import routes_text, unified_contract, validated_plan
 from colloquy.sources.encoders import hashed_vectors
-from colloquy.sources.tables import facts, turns
+from colloquy.sources.tables import facts, turn_vectors, turns
 
 
 def memory(spark: SparkSession, d: str) -> Memory:
@@ -22,7 +21,12 @@ def memory(spark: SparkSession, d: str) -> Memory:
     f = facts(spark, d).select("node_id", "text", F.col("session_id").alias("collection_id"), "refer_ids")
     vectors = hashed_vectors(f, "node_id", "text").join(f.select("node_id", "collection_id"), "node_id")
     sessions = t.select(F.col("session_id").alias("node_id"), "date").distinct()
-    return Memory(t, f, mean_vectors(vectors, "collection_id", "vec").select(F.col("collection_id").alias("node_id"), "vec"), sessions, hashed_vectors)
+    # Every fourth turn shows an image: its caption repeats the turn's start, its vector comes from the vector table.
+    shown = F.pmod("ordinal", F.lit(4)) == 0
+    captions = t.filter(shown).select("ref", F.concat(F.lit("a picture of "), F.substring("text", 1, 80)).alias("text"))
+    images = turn_vectors(spark, d).filter(shown).select("ref", F.col("embedding").cast("array<double>").alias("vec"))
+    means = mean_vectors(vectors, "collection_id", "vec").select(F.col("collection_id").alias("node_id"), "vec")
+    return Memory(t, f, means, sessions, hashed_vectors, captions, images)
 
 
 def model_plans(spark: SparkSession, d: str) -> DataFrame:
@@ -72,10 +76,8 @@ def iterative_rounds(spark: SparkSession, d: str) -> DataFrame:
         )
         return open_rows.select("query_id", text.alias("model_output"))
 
-    def raw_only(p: DataFrame) -> DataFrame:
-        """BM25 on raw turns for the plan's own query; the full executor fits the same slot."""
-        hits = bm25_topk(m.raw, p.select("query_id", F.col("plan")["routes"][0]["query"].alias("text")), 30, node="ref")
-        return hits.select("query_id", F.col("rank").alias("slot"), "node_id")
+    def run(p: DataFrame) -> DataFrame:
+        return execute(p, m).select("query_id", "slot", "node_id")
 
-    out = iterate(questions, plans, raw_only, decide, RoundLimits(3, (20, 6, 4), 20))
+    out = iterate(questions, plans, run, decide, RoundLimits(3, (20, 6, 4), 20))
     return out.select(F.col("query_id").alias("item_id"), "rounds", "stop_reason", F.size("packed").alias("n_packed"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy.config import LAYER_WEIGHT, MULTI_PARTY, ExecutorProfile
+from colloquy.errors import ContractViolation
 from colloquy.functions.vectors import dot
 from colloquy.operators import bm25, dense, fusion, projection
 from colloquy.operators.context import fail_open_date
@@ -54,12 +55,12 @@ def _requests(work: DataFrame, layer: str, retriever: str) -> DataFrame:
     return work.filter(kind).select(F.col("request_id").alias("query_id"), "text").dropDuplicates(["query_id"])
 
 
-def _visual(memory: Memory, retriever: str, encoded: DataFrame, k: int) -> DataFrame | None:
-    if retriever == "caption" and memory.captions is not None:
-        return dense.dense_topk(memory.encode(memory.captions, "ref", "text"), encoded, k, node="ref")
-    if retriever == "image" and memory.images is not None:
-        return dense.dense_topk(memory.images, encoded, k, node="ref")
-    return None
+def _visual(memory: Memory, retriever: str, encoded: DataFrame, k: int) -> DataFrame:
+    """Turns by caption or image; a plan that asks for data the memory lacks is an error."""
+    source = memory.captions if retriever == "caption" else memory.images
+    if source is None:
+        raise ContractViolation(f"a plan asks for {retriever} retrieval, but the memory has no {retriever} data")
+    return dense.dense_topk(memory.encode(source, "ref", "text") if retriever == "caption" else source, encoded, k, node="ref")
 
 
 def ranked_requests(work: DataFrame, memory: Memory, k: int) -> DataFrame:
@@ -76,9 +77,7 @@ def ranked_requests(work: DataFrame, memory: Memory, k: int) -> DataFrame:
             if retriever == "bm25" and layer != "collection":
                 hits = bm25.bm25_topk(layers[layer], asked, k)
             elif retriever == "bm25":
-                terms = bm25.question_terms(asked)
-                index = bm25.group_postings(memory.facts.select("collection_id", "text"), "collection_id", "text", terms)
-                hits = top_k(bm25.score(index, terms), ["query_id"], by_score("score", "node_id"), k)
+                hits = bm25.group_topk(memory.facts.select("collection_id", "text"), "collection_id", "text", bm25.question_terms(asked), k)
             else:
                 encoded = memory.encode(asked, "query_id", "text")
                 if retriever == "dense":
@@ -86,8 +85,6 @@ def ranked_requests(work: DataFrame, memory: Memory, k: int) -> DataFrame:
                     hits = dense.dense_topk(corpus, encoded, k)
                 else:
                     hits = _visual(memory, retriever, encoded, k)
-                    if hits is None:
-                        continue
                     if layer == "collection":
                         hits = _to_collections(hits, memory)
             lists.append(hits.select(F.lit(layer).alias("layer"), F.lit(retriever).alias("retriever"), F.col("query_id").alias("request_id"), "rank", "node_id"))
