@@ -67,22 +67,24 @@ def _key_words() -> list[str]:
 
 
 def grams(ws: Column, keys: list[str]) -> Column:
-    """Distinct n-grams of up to ``GRAMS`` words that hold a key word."""
-    known = F.array(*[F.lit(k) for k in keys])
-    every = [
-        F.filter(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), lambda i, n=n: F.slice(ws, i, n)),
-            lambda g, n=n: (F.size(g) == n) & F.arrays_overlap(g, known),
-        )
-        for n in range(1, GRAMS + 1)
-    ]
-    return F.array_distinct(F.transform(F.concat(*every), lambda g: F.array_join(g, " ")))
+    """Distinct n-grams of up to ``GRAMS`` words that hold a key word; only the places of key words are looked at."""
+    size = F.size(ws)
+    none = F.array().cast("array<int>")
+    places = F.when(size > 0, F.filter(F.sequence(F.lit(1), size), lambda i: F.element_at(ws, i).isin(*keys))).otherwise(none)
+
+    def of_length(n: int) -> Column:
+        # A lambda's second parameter would be the index, so n is bound outside.
+        first, last = (lambda p: F.greatest(p - (n - 1), F.lit(1))), (lambda p: F.least(p, size - (n - 1)))
+        near = F.transform(places, lambda p: F.when(first(p) <= last(p), F.sequence(first(p), last(p))).otherwise(none))
+        return F.transform(F.array_distinct(F.flatten(near)), lambda s: F.array_join(F.slice(ws, s, n), " "))
+
+    return F.array_distinct(F.concat(*[of_length(n) for n in range(1, GRAMS + 1)]))
 
 
 def paragraphs(docs: DataFrame, keys: list[str], id_col: str, text_col: str) -> DataFrame:
     """``id, line, ws``: lines that hold a key word; the others have no feature and are unknown."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line", "text"))
-    return lines.select("id", "line", word_list(F.col("text")).alias("ws")).filter(F.arrays_overlap("ws", F.array(*[F.lit(k) for k in keys])))
+    return lines.select("id", "line", word_list(F.col("text")).alias("ws")).filter(F.exists("ws", lambda w: w.isin(*keys)))
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -116,7 +118,7 @@ def fit(rows: DataFrame) -> tuple[list[tuple[str, str, float]], dict[str, float]
     code = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("label")) - 1
     counted = CountVectorizer(inputCol="g", outputCol="features", binary=True, minDF=3, vocabSize=1 << 14).fit(rows)
     data = counted.transform(rows).select(code.cast("double").alias("label"), "features")
-    model = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=0.9, maxIter=40, tol=1e-4).fit(data)
+    model = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=0.9, maxIter=25, tol=1e-4).fit(data)
     matrix = model.coefficientMatrix.toArray()
     present = families[: matrix.shape[0]]
     weights = [(counted.vocabulary[j], f, float(matrix[i, j])) for i, f in enumerate(present) for j in matrix[i].nonzero()[0]]

@@ -24,3 +24,17 @@ def test_families(spark):
     assert len(got) == len(TEXTS) + 1
     assert all((r.license == "") == (r.n_notices == 0 == r.score) and 0 <= r.score <= 1 and 0 <= r.contained <= 1 for r in got)
     assert by_document(docs.limit(0), notices(docs.limit(0))).count() == 0
+
+
+def test_grams_around_key_words(spark):
+    from pyspark.sql import functions as F
+
+    from colloquy.llm.licenses import grams, word_list
+
+    texts = ["under the MIT license now", "mit", "", "no word of it", "license license mit x"]
+    keys = ["mit", "license"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", grams(word_list(F.col("t")), keys).alias("g")).collect()
+    for r in rows:
+        ws = texts[r.i].lower().split()
+        want = {" ".join(ws[p : p + n]) for n in (1, 2, 3) for p in range(len(ws) - n + 1) if set(ws[p : p + n]) & set(keys)}
+        assert set(r.g) == want and len(r.g) == len(want)
