@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.catalog.build import _WINDOWS, SHORT
 from colloquy.catalog.registry import query
-from colloquy.sources.tables import TURN_SLOTS, table, turns_of
+from colloquy.sources.tables import TURN_SLOTS, table, turns, turns_of
 from colloquy.streaming.jobs import drain, fresh_location, table_stream
 from colloquy.streaming.speakers import match_stream
-from colloquy.streaming.windows import window_stream
+from colloquy.streaming.windows import closing_windows, window_stream
 
 
 @query()
@@ -25,8 +25,9 @@ def stream_speaker_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_WINDOWS} SELECT session_id, CAST(start AS BIGINT) AS start, CAST(count(*) AS INTEGER) AS n_turns, arg_min(ref, off) AS first_ref, arg_max(ref, off) AS last_ref
-FROM member WHERE form = 'short' AND start % 2 = 0 GROUP BY session_id, start HAVING count(*) = 4"""
+FROM member WHERE form = 'short' GROUP BY session_id, start"""
 )
 def stream_turn_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Full stride windows emitted while the stream runs."""
-    return drain(window_stream(turns_of(table_stream(spark, d, "conversations")), **SHORT), fresh_location(spark, "windows"))
+    """Stride windows emitted while the stream runs, and the last window of each session after its end."""
+    streamed = drain(window_stream(turns_of(table_stream(spark, d, "conversations")), **SHORT), fresh_location(spark, "windows"))
+    return streamed.unionByName(closing_windows(turns(spark, d), **SHORT))

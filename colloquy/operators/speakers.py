@@ -17,23 +17,38 @@ class Registry:
 
     def __init__(self, policy: OnlinePolicy, prototypes=(), turns=(), updates=()):
         self.policy = policy
-        self.prototypes = [np.asarray(p, dtype=np.float64) for p in prototypes]
+        # Rows of one matrix that doubles when it is full.
+        self._rows = np.array([np.asarray(p, dtype=np.float64) for p in prototypes]) if len(prototypes) else np.zeros((0, 0))
+        self._n = len(self._rows)
         self.turns, self.updates = list(turns), list(updates)
 
+    @property
+    def prototypes(self) -> np.ndarray:
+        return self._rows[: self._n]
+
+    def _append(self, vector: np.ndarray) -> None:
+        if self._n == len(self._rows):
+            grown = np.zeros((max(8, 2 * self._n), len(vector)))
+            if self._n:
+                grown[: self._n] = self.prototypes
+            self._rows = grown
+        self._rows[self._n] = vector
+        self._n += 1
+
     def ingest(self, vector: np.ndarray) -> tuple:
         """Assign one vector: nearest prototype above the threshold, else a new one."""
         best = runner = None
-        if self.prototypes:
-            cosines = np.stack(self.prototypes) @ vector
+        if self._n:
+            cosines = self.prototypes @ vector
             # Among equal cosines the latest prototype wins.
             at = len(cosines) - 1 - int(np.argmax(cosines[::-1]))
             best = float(cosines[at])
             runner = float(np.partition(cosines, -2)[-2]) if len(cosines) > 1 else None
         if best is None or best < self.policy.match_cosine:
-            self.prototypes.append(vector.copy())
+            self._append(vector)
             self.turns.append(1)
             self.updates.append(0)
-            return self._name(len(self.prototypes)), True, best, runner, False
+            return self._name(self._n), True, best, runner, False
         updated = best >= self.policy.update_cosine
         if updated:
             blend = (1.0 - self.policy.alpha) * self.prototypes[at] + self.policy.alpha * vector
