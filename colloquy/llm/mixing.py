@@ -38,8 +38,9 @@ def _log_factorial(n: Column) -> Column:
     return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + series - small
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once and not copied into every place of use."""
+    return F.transform(F.array(value), body)[0]
 
 
 def hypergeometric(population: Column, marked: Column, draws: Column, uniform: Column) -> Column:
@@ -47,19 +48,28 @@ def hypergeometric(population: Column, marked: Column, draws: Column, uniform: C
     total = population.cast("double")
     mean = draws * marked / F.greatest(total, F.lit(1.0))
     spread = F.sqrt(F.greatest(mean * (1 - marked / F.greatest(total, F.lit(1.0))) * (total - draws) / F.greatest(total - 1, F.lit(1.0)), F.lit(0.0)))
-    low = F.greatest(F.lit(0), draws - (population - marked), F.floor(mean - 12 * spread - 2)).cast("bigint")
-    high = F.least(draws, marked, F.ceil(mean + 12 * spread + 2)).cast("bigint")
-    first = F.exp(_log_choose(marked, low) + _log_choose(population - marked, draws - low) - _log_choose(population, draws))
 
-    def step(acc: Column, x: Column) -> Column:
-        up = acc["sum"] + acc["p"]
-        ratio = (marked - x).cast("double") * (draws - x) / ((x + 1).cast("double") * (population - marked - draws + x + 1))
-        return F.struct(up.alias("sum"), (acc["p"] * F.coalesce(ratio, F.lit(0.0))).alias("p"), (acc["n"] + F.when(up < uniform, 1).otherwise(0)).cast("bigint").alias("n"))
+    def bounds(s: Column) -> Column:
+        low = F.greatest(F.lit(0), draws - (population - marked), F.floor(s["mean"] - 12 * s["spread"] - 2)).cast("bigint")
+        high = F.least(draws, marked, F.ceil(s["mean"] + 12 * s["spread"] + 2)).cast("bigint")
+        return F.struct(low.alias("low"), high.alias("high"))
 
-    start = F.struct(F.lit(0.0).alias("sum"), first.alias("p"), F.lit(0).cast("bigint").alias("n"))
-    # The last value of the range needs no step: everything above belongs to it.
-    walked = F.aggregate(F.sequence(low, high - 1), start, step)["n"]
-    return F.when(high <= low, low).otherwise(low + walked)
+    def inverted(r: Column) -> Column:
+        low, high = r["low"], r["high"]
+        parts = [(1.0, marked), (-1.0, low), (-1.0, marked - low), (1.0, population - marked), (-1.0, draws - low), (-1.0, population - marked - draws + low), (-1.0, population), (1.0, draws), (1.0, population - draws)]
+        terms = F.array(*[F.struct(F.lit(sign).alias("sign"), n.cast("double").alias("n")) for sign, n in parts])
+        first = F.exp(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t["sign"] * _log_factorial(t["n"])))
+
+        def step(acc: Column, x: Column) -> Column:
+            up = acc["sum"] + acc["p"]
+            ratio = (marked - x).cast("double") * (draws - x) / ((x + 1).cast("double") * (population - marked - draws + x + 1))
+            return F.struct(up.alias("sum"), (acc["p"] * F.coalesce(ratio, F.lit(0.0))).alias("p"), (acc["n"] + F.when(up < uniform, 1).otherwise(0)).cast("bigint").alias("n"))
+
+        start = F.struct(F.lit(0.0).alias("sum"), first.alias("p"), F.lit(0).cast("bigint").alias("n"))
+        # The last value of the range needs no step: everything above belongs to it.
+        return F.when(high <= low, low).otherwise(low + F.aggregate(F.sequence(low, F.greatest(high - 1, low)), start, step)["n"])
+
+    return _let(_let(F.struct(mean.alias("mean"), spread.alias("spread")), bounds), inverted)
 
 
 def _left_share(quotas: Column, draws: Column, seed: Column) -> Column:
@@ -69,11 +79,9 @@ def _left_share(quotas: Column, draws: Column, seed: Column) -> Column:
     def step(acc: Column, i: Column) -> Column:
         marked = F.element_at(quotas, i + 1)
         uniform = (F.pmod(F.xxhash64(seed, i), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-        got = F.when(acc["population"] <= 0, F.lit(0).cast("bigint")).otherwise(hypergeometric(acc["population"], marked, acc["draws"], uniform))
-        return F.transform(
-            F.array(got),
-            lambda g: F.struct((acc["population"] - marked).alias("population"), (acc["draws"] - g).alias("draws"), F.concat(acc["out"], F.array(g)).alias("out")),
-        )[0]
+        drawn = lambda v: F.when(acc["population"] <= 0, F.lit(0).cast("bigint")).otherwise(hypergeometric(acc["population"], v["marked"], acc["draws"], v["uniform"]))
+        after = lambda g: F.struct((acc["population"] - marked).alias("population"), (acc["draws"] - g).alias("draws"), F.concat(acc["out"], F.array(g)).alias("out"))
+        return _let(_let(F.struct(marked.alias("marked"), uniform.alias("uniform")), drawn), after)
 
     start = F.struct(total.alias("population"), draws.alias("draws"), F.array().cast("array<bigint>").alias("out"))
     return F.aggregate(F.sequence(F.lit(0), F.size(quotas) - 1), start, step)["out"]
