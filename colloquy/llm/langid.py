@@ -21,8 +21,6 @@ from colloquy.llm.tokens import slices
 
 GRAMS = 3
 PROFILE = 300
-# Labelled documents that profiles are counted on, in expectation; a hash of the id picks them.
-TRAIN_DOCS = 20_000
 # Steepness of the confidence in the difference of mean distances.
 STEEPNESS = 25.0
 BORDER = 0x5F
@@ -96,12 +94,10 @@ def _lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column)
 
 
-def profiles(docs: DataFrame, train: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = TRAIN_DOCS) -> dict[str, list[int]]:
-    """The most frequent n-grams of each language, most frequent first, ties to the smaller code."""
-    known = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    total = known.select("id").count()
-    part = min(1.0, sample / total) if total else 1.0
-    chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(part * (1 << 30))).select("lang", "text")
+def profiles(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: str = "text") -> dict[str, list[int]]:
+    """The most frequent n-grams of each language over all its training rows, most frequent first, ties to the smaller code."""
+    known = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    chosen = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

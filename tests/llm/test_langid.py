@@ -63,3 +63,18 @@ def test_nothing_to_learn_from(spark):
     assert langid.profiles(docs, F.lit(True)) == {}
     assert sorted((r.lang_pred, r.score) for r in langid.identify(docs, {}).collect()) == [("und", 0.0), ("und", 1.0)]
     assert langid.identify(docs.limit(0), {}).count() == 0
+
+
+def test_rare_languages_keep_all_their_documents(spark):
+    import collections
+
+    rare = {f"r{k}": [f"xq{chr(97 + k % 26)}z{'v' * (k // 26)}", f"kw{chr(97 + k % 26)}"] for k in range(30)}
+    many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("the cat").alias("text"), F.lit("en").alias("lang"))
+    few = spark.createDataFrame([(100_000 + 2 * k + j, t, name) for k, (name, texts) in enumerate(rare.items()) for j, t in enumerate(texts)], many.schema)
+    known = langid.profiles(many.unionByName(few), F.lit(True))
+    assert set(known) == {"en", *rare}
+    for name, texts in rare.items():
+        counts = collections.Counter()
+        for t in texts:
+            counts.update(brute_grams(t))
+        assert sorted(decoded(c) for c in known[name]) == sorted(counts)
