@@ -1,6 +1,7 @@
 """Licence notices by a trained paragraph classifier.
 
-Paragraphs (lines) are described by the word n-grams they share with known
+Paragraphs are single lines, and stretches of words, across line ends, along which a
+notice runs.  They are described by the word n-grams they share with known
 notices.  A sparse multinomial logistic regression over those n-grams names a
 licence family or ``unknown``; its confidence is calibrated by a temperature, and a
 named family counts only if the paragraph also holds most of one of the family's
@@ -25,6 +26,10 @@ CONFIDENCE = 0.5
 CONTAINED = 0.7
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)
 
+# Words that may be put into or left out of a notice, and places that share a cell when stretches are held against each other.
+SLACK = 8
+CELL = 64
+
 # Sentences of public licence notices, by family.
 NOTICES = {
     "agpl": ("licensed under the GNU Affero General Public License version 3", "This program is free software under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX License Identifier AGPL 3.0"),
@@ -81,6 +86,27 @@ def grams(ws: Column, keys: list[str]) -> Column:
     return F.array_distinct(F.concat(*[of_length(n) for n in range(1, GRAMS + 1)]))
 
 
+def placed_grams(ws: Column, keys: list[str]) -> Column:
+    """``(at, n, gram)`` of every occurrence of such an n-gram; places count from 1."""
+    size = F.size(ws)
+    none = F.array().cast("array<int>")
+    places = F.when(size > 0, F.filter(F.sequence(F.lit(1), size), lambda i: F.element_at(ws, i).isin(*keys))).otherwise(none)
+
+    def of_length(n: int) -> Column:
+        first, last = (lambda p: F.greatest(p - (n - 1), F.lit(1))), (lambda p: F.least(p, size - (n - 1)))
+        near = F.transform(places, lambda p: F.when(first(p) <= last(p), F.sequence(first(p), last(p))).otherwise(none))
+        return F.transform(F.array_distinct(F.flatten(near)), lambda s: F.struct(s.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(ws, s, n), " ").alias("gram")))
+
+    return F.concat(*[of_length(n) for n in range(1, GRAMS + 1)])
+
+
+def occurrences(docs: DataFrame, keys: list[str], id_col: str, text_col: str) -> DataFrame:
+    """``id, copy, at, n, gram`` over whole texts: line ends and comment marks stand between words only.  ``copy`` tells texts of one id apart."""
+    text = F.regexp_replace(F.col(text_col).cast("string"), r"(?m)^\s*(?:dnl|[Rr][Ee][Mm])\s", " ")
+    ws = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("copy"), word_list(text).alias("ws")).filter(F.exists("ws", lambda w: w.isin(*keys)))
+    return ws.select("id", "copy", F.explode(placed_grams(F.col("ws"), keys)).alias("x")).select("id", "copy", "x.*")
+
+
 def paragraphs(docs: DataFrame, keys: list[str], id_col: str, text_col: str) -> DataFrame:
     """``id, line, ws``: lines that hold a key word; the others have no feature and are unknown."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line", "text"))
@@ -101,6 +127,49 @@ def compared(lines: DataFrame) -> DataFrame:
     return met.groupBy("id", "line", "family").agg(F.max(F.col("n") / F.col("size")).alias("contained"))
 
 
+def stretches(grams_at: DataFrame) -> DataFrame:
+    """``id, copy, family, contained, first, last``: places along which a notice runs in order.
+
+    An n-gram at place ``p`` of a text and ``q`` of a notice votes for a start at
+    ``p - q``.  Votes at most ``SLACK`` apart are one stretch, so words may be put in or left
+    out; it lies where most of its votes fall.
+    """
+    spark, keys = grams_at.sparkSession, _key_words()
+    rows = [(f, i, n) for f, notices in NOTICES.items() for i, n in enumerate(notices)]
+    own = spark.createDataFrame(rows, "family string, notice int, text string").withColumn("ws", word_list(F.col("text")))
+    own = own.select("family", "notice", F.size("ws").alias("length"), F.size(grams(F.col("ws"), keys)).alias("size"), F.explode(placed_grams(F.col("ws"), keys)).alias("x"))
+    known = F.broadcast(own.select("family", "notice", "length", "size", F.col("x.gram").alias("gram"), F.col("x.at").alias("place")))
+    group = ["id", "copy", "family", "notice", "length", "size"]
+    votes = grams_at.select("id", "copy", "at", "gram").join(known, "gram").withColumn("start", F.col("at") - F.col("place") + 1)
+    voted = votes.groupBy(*group, "start").agg(F.collect_set("gram").alias("g"))
+    part = F.floor(F.col("start") / SLACK)
+    met = voted.withColumn("part", F.explode(F.array(part, part + 1))).groupBy(*group, "part").agg(F.size(F.array_distinct(F.flatten(F.collect_list("g")))).alias("n"), F.max(F.struct(F.size("g").alias("n"), (-F.col("start")).alias("back"))).alias("most"))
+    first = -F.col("most.back")
+    kept = met.filter(F.col("n") >= CONTAINED * F.col("size")).select("id", "copy", "family", (F.col("n") / F.col("size")).alias("contained"), F.greatest(first, F.lit(1)).alias("first"), (first + F.col("length") - 1).alias("last"))
+    return kept.groupBy("id", "copy", "family", "first", "last").agg(F.max("contained").alias("contained"))
+
+
+def _cells(first: str, last: str) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(first) / CELL), F.floor(F.col(last) / CELL)))
+
+
+def contested(found: DataFrame) -> DataFrame:
+    """``found`` with ``low, high``: the stretch and all that share half of the shorter one with it, which the classifier has to tell apart."""
+    celled = found.withColumn("cell", _cells("first", "last"))
+    other = celled.select("id", "copy", "cell", F.col("first").alias("f"), F.col("last").alias("l")).distinct()
+    shared = F.least("last", "l") - F.greatest("first", "f") + 1
+    shorter = F.least(F.col("last") - F.col("first"), F.col("l") - F.col("f")) + 1
+    met = celled.join(other, ["id", "copy", "cell"]).filter(2 * shared >= shorter)
+    return met.groupBy("id", "copy", "family", "first", "last", "contained").agg(F.min("f").alias("low"), F.max("l").alias("high"))
+
+
+def runs(grams_at: DataFrame, found: DataFrame) -> DataFrame:
+    """``id, line, g`` of the contested stretches; ``id`` is the struct ``(id, copy, low, high)``, ``line`` 0."""
+    spans = found.select("id", "copy", "low", "high").distinct().withColumn("cell", _cells("low", "high"))
+    inside = grams_at.withColumn("cell", F.floor(F.col("at") / CELL)).join(spans, ["id", "copy", "cell"]).filter((F.col("at") >= F.col("low")) & (F.col("at") + F.col("n") - 1 <= F.col("high")))
+    return inside.groupBy(F.struct("id", "copy", "low", "high").alias("id")).agg(F.collect_set("gram").alias("g")).select("id", F.lit(0).alias("line"), "g")
+
+
 def training_rows(lines: DataFrame, met: DataFrame) -> DataFrame:
     """``label, fold, g``: framed notices, decoys, and paragraphs of ``lines`` that hold no whole notice."""
     spark, keys = lines.sparkSession, _key_words()
@@ -158,6 +227,12 @@ def calibrate(rows: DataFrame) -> float:
     return min(zip(means, TEMPERATURES))[1]
 
 
+def _best(lines: DataFrame, weights: list[tuple[str, str, float]], intercepts: dict[str, float], temperature: float) -> DataFrame:
+    """``id, line, family, score`` of the paragraphs that are not ``unknown`` with a probability of at least ``CONFIDENCE``."""
+    best = logits(lines, weights, intercepts).select("id", "line", F.array_max(chances(temperature)).alias("best")).select("id", "line", "best.family", F.col("best.p").alias("score"))
+    return best.filter((F.col("family") != UNKNOWN) & (F.col("score") >= CONFIDENCE))
+
+
 def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, line, family, score, contained``: confirmed licence notices, one row per paragraph.
 
@@ -165,17 +240,26 @@ def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     probability is at least ``CONFIDENCE`` and the paragraph holds at least ``CONTAINED`` of
     the n-grams of one of the family's notices.  Null and empty texts have none.
     Rows with equal ids are one document: equal lines at the same place count once.
+
+    Paragraphs are stretches along which a notice runs, wrapped or several to a line;
+    ``line`` is then the first word's place.  A line counts for a family that no
+    stretch of the document shows: its notice has more words put in.
     """
     keys = _key_words()
     lines = stored(paragraphs(docs, keys, id_col, text_col).select("id", "line", grams(F.col("ws"), keys).alias("g")).distinct(), "paragraphs")
+    grams_at = stored(occurrences(docs, keys, id_col, text_col), "occurrences")
     # A few thousand short rows: one partition keeps each step of the fit to one task.
     met = stored(compared(lines), "compared")
     rows = stored(training_rows(lines, met).coalesce(1), "training").coalesce(1).cache()
     weights, intercepts = fit(rows)
     temperature = calibrate(rows)
-    best = logits(lines, weights, intercepts).select("id", "line", F.array_max(chances(temperature)).alias("best")).select("id", "line", "best.family", F.col("best.p").alias("score"))
-    sure = best.filter((F.col("family") != UNKNOWN) & (F.col("score") >= CONFIDENCE)).join(met, ["id", "line", "family"])
-    return sure.filter(F.col("contained") >= CONTAINED).select("id", "line", "family", "score", "contained")
+    found = stored(contested(stored(stretches(grams_at), "stretches")), "contested")
+    told = _best(runs(grams_at, found), weights, intercepts, temperature).select("id.*", "family", "score")
+    long = found.join(told, ["id", "copy", "low", "high", "family"])
+    long = stored(long.groupBy("id", F.col("low").alias("line"), "family").agg(F.max("score").alias("score"), F.max("contained").alias("contained")), "runs")
+    short = _best(lines, weights, intercepts, temperature).join(met, ["id", "line", "family"]).filter(F.col("contained") >= CONTAINED)
+    short = short.join(long.select("id", "family").distinct(), ["id", "family"], "left_anti")
+    return long.unionByName(short.select("id", "line", "family", "score", "contained"))
 
 
 def by_document(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -38,3 +38,23 @@ def test_grams_around_key_words(spark):
         ws = texts[r.i].lower().split()
         want = {" ".join(ws[p : p + n]) for n in (1, 2, 3) for p in range(len(ws) - n + 1) if set(ws[p : p + n]) & set(keys)}
         assert set(r.g) == want and len(r.g) == len(want)
+
+
+WRAPPED = {
+    1: ("bsd", "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"),
+    2: ("mit", " * Permission is hereby granted, free of charge, to any person obtaining a\n * copy of this software and associated documentation files (the \"Software\")"),
+    3: ("gpl", "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by"),
+    4: ("isc", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that"),
+    5: ("apache,mit", f"{prose(1, 30)} Released under the MIT License. {prose(2, 30)} Licensed under the Apache License, Version 2.0. {prose(3, 9)}"),
+    6: ("apache,mit", "Licensed under the MIT license, licensed under the Apache License, version 2.0"),
+    7: ("agpl", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation"),
+    8: ("lgpl", "dnl licensed under the GNU Lesser\ndnl General Public License version 3"),
+    9: ("", "a driver needs a license under the terms\nof the general public and software is free"),
+}
+
+
+def test_wrapped_and_joined_notices(spark):
+    docs = frame(spark, [(i, t, None, None) for i, (_, t) in WRAPPED.items()])
+    got = by_document(docs, notices(docs)).collect()
+    assert {r.doc_id: r.license for r in got} == {i: name for i, (name, _) in WRAPPED.items()}
+    assert {r.doc_id: r.n_notices for r in got} == {i: len([x for x in name.split(",") if x]) for i, (name, _) in WRAPPED.items()}
