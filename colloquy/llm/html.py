@@ -6,7 +6,9 @@ their number; the two ratios are smoothed along the page, fused by multiplicatio
 cut at a threshold.  Blocks on surviving paths vote for the element that holds
 them; the main text is all blocks inside the elements so chosen.  Elements that
 never hold main text (navigation, footers, forms, scripts, adverts, comments and
-so on, by tag, role or class) are cut away first.
+so on, by tag, role or class) are cut away first; a class or id cuts nothing if the
+elements of that name hold most of the page's unlinked text and no article or main
+element with text stands beside them.
 """
 
 from __future__ import annotations
@@ -47,6 +49,9 @@ _UNWANTED = re.compile(
     r"topbar|toolbar|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|register|search|share|sharing|social|follow|related|recommended|"
     r"recommendations|trending|popular|comments?|commentlist|respond|replies|reply|disqus|discussion|copyright|legal|disclaimer|tags|skip|hidden|print|byline|aside|form)$"
 )
+# Names that count at any place of a class or id, and words before a name that take its meaning away.
+_ADVERT = re.compile(r"^(?:ads?|adv|advert\w*|advertis\w*|adsense|sponsor\w*|cookies?|gdpr)$")
+_DENIED = {"no", "non", "not", "has", "have", "with", "without"}
 _PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])")
 # An opening tag ends an open element of the second set.
 CLOSES = {
@@ -62,6 +67,7 @@ class _Element:
     label: str
     number: int
     out: bool
+    cut: str = ""
 
 
 @dataclass
@@ -72,30 +78,59 @@ class Block:
     elements: tuple[int, ...]
     text: str
     linked: int
+    cuts: frozenset[str] = frozenset()
 
 
-def _unwanted(name: str, tag: str) -> tuple[bool, str]:
-    """Whether an element is cut away, and its label in paths."""
+def _bad_name(value: str) -> bool:
+    """Whether a class or id ends in an unwanted word, or is an advert's, with no word before that denies it."""
+    ws = [w.lower() for w in _PARTS.split(value) if w]
+    while len(ws) > 1 and ws[-1].isdigit():
+        ws.pop()
+    if not ws or _DENIED.intersection(ws[:-1]):
+        return False
+    return bool(_UNWANTED.match(ws[-1])) or any(_ADVERT.match(w) for w in ws)
+
+
+def _unwanted(name: str, tag: str) -> tuple[bool, str, str]:
+    """Whether an element is cut away whatever it holds, the class or id that speaks against it, and its label in paths."""
     if name in EXCLUDED:
-        return True, name
-    label = name
+        return True, "", name
+    label, cut = name, ""
     for key, a, b, c in _MARK.findall(tag[len(name) + 1 :]):
         value = (a or b or c).strip()
         key = key.lower()
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True, label
+            return True, "", label
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, label
+            return True, "", label
         if key in ("class", "id"):
-            if name not in ("html", "body", "article", "main") and any(_UNWANTED.match(w.lower()) for w in _PARTS.split(value) if w):
-                return True, label
+            if name not in ("html", "body", "article", "main"):
+                cut = cut or next((f"{name}.{w}" for w in value.split() if _bad_name(w)), "")
             if key == "class" and value:
                 label = f"{name}.{value.split()[0]}"
-    return False, label
+    return False, cut, label
 
 
 def blocks(html: str) -> list[Block]:
-    """Text blocks of a page in order; cut-away elements give none.  Unclosed and stray tags are tolerated."""
+    """Text blocks of a page in order; cut-away elements give none.
+
+    If classes and ids would leave nothing, they cut nothing.
+    """
+    found = _parsed(html, True)
+    size = lambda b: max(len(b.text) - b.linked, 0)
+    held: dict[str, int] = defaultdict(int)
+    for b in found:
+        for cut in b.cuts:
+            held[cut] += size(b)
+    half = 0.5 * sum(size(b) for b in found)
+    # Beside an article or main element with text, what is named unwanted is cut whatever its size.
+    marked = {e for b in found if not b.cuts and size(b) for e, label in zip(b.elements, b.path) if label.split(".")[0] in ("article", "main")}
+    kept = [b for b in found if not b.cuts or all(held[cut] > half for cut in b.cuts) and (not marked or marked.intersection(b.elements))]
+    return kept if any(size(b) for b in kept) else _parsed(html, False)
+
+
+def _parsed(html: str, named: bool) -> list[Block]:
+    """Text blocks with the class or id names that speak against them, if ``named``.  Unclosed and stray tags are tolerated."""
     stack = [_Element("#", "#", 0, False)]
     found: list[Block] = []
     text: list[str] = []
@@ -107,7 +142,7 @@ def blocks(html: str) -> list[Block]:
             clean = _BLANK.sub(" ", unescape("".join(text))).strip()
             if clean:
                 around = [e for e in stack if e.name not in INLINE]
-                found.append(Block(tuple(e.label for e in around), tuple(e.number for e in around), clean, linked))
+                found.append(Block(tuple(e.label for e in around), tuple(e.number for e in around), clean, linked, frozenset(e.cut for e in around if e.cut)))
         text, linked = [], 0
 
     def close(to: int) -> None:
@@ -160,8 +195,11 @@ def blocks(html: str) -> list[Block]:
         if name in VOID:
             continue
         number += 1
-        out, label = _unwanted(name, tag)
-        stack.append(_Element(name, label, number, out or stack[-1].out))
+        out, cut, label = _unwanted(name, tag)
+        cut = cut if named else ""
+        # Text of an inline element belongs to the block around it.
+        out = out or name in INLINE and bool(cut)
+        stack.append(_Element(name, label, number, out or stack[-1].out, cut))
         if tag.endswith("/>") and name not in ("p", "div", "span"):
             close(len(stack) - 1)
             continue

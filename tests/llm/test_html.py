@@ -28,6 +28,16 @@ def test_what_is_cut_away():
             assert main_text(page) == "One, two. Three words here, and more of them.\nShort.", page
 
 
+def test_names_of_wrappers_cut_nothing():
+    body = "<p>One, two. Three words here, and more of them.</p><p>Short.</p>"
+    want = "One, two. Three words here, and more of them.\nShort."
+    for name in ("content no-sidebar", "layout has-sidebar", "topic social-science", "search-results-page", "legal", "print", "popular"):
+        for side in ("", "<div class='sidebar'>x, y. z</div>", "<div class='page-footer'>x, y. z</div>"):
+            assert main_text(f"<body><div class='{name}'>{body}</div>{side}</body>") == want, name
+    assert main_text("<body><p class='legal'>One, two. Three, four.</p><p class='legal'>Five, six. Seven.</p></body>") == "One, two. Three, four.\nFive, six. Seven."
+    assert main_text("<body><span class='search'>One, two. Three.</span></body>") == "One, two. Three."
+
+
 def test_tolerance():
     assert main_text("<p>a <b>b<p>c &amp; d&eacute; &#x41; &lt;e") == "a b\nc & dé A <e"
     assert main_text("1 < 2, really. <p>x > y, too.") == "1 < 2, really.\nx > y, too."
