@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from colloquy.llm.decontaminate import contamination, hits
 from colloquy.llm.frames import fold_of, table
-from colloquy.llm import covertree, html, langid, licenses, minhash, mixing, quality
+from colloquy.llm import covertree, html, langid, licenses, minhash, mixing, quality, simhash
 from colloquy.llm.ctw import code_lengths
 from colloquy.llm.oracles import OP6, OP7, OP8, OP9, OP10
 from colloquy.llm.substrings import digest, remove_repeats
@@ -70,6 +70,11 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return hits(contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose fingerprints differ in two bits or fewer."""
+    return simhash.digest(simhash.near_duplicates(table(spark, folder, "documents")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -81,5 +86,6 @@ QUERIES = {
     "op8_cover_tree": op8_cover_tree,
     "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
+    "op12_simhash": op12_simhash,
 }
 ORACLES = {"op6_substring_dedup": OP6, "op7_mixing": OP7, "op8_cover_tree": OP8, "op9_minhash": OP9, "op10_decontaminate": OP10}
