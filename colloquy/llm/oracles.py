@@ -87,3 +87,104 @@ pair AS (
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pair)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+def _crc_table() -> list[int]:
+    """The byte table of CRC-32, by its rule."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, as BIGINT."""
+    digits = f"hex(encode({text}))"
+    nibble = "strpos('0123456789ABCDEF', substr({0}, {1}, 1)) - 1"
+    octets = f"[CAST(16 * ({nibble.format(digits, '2 * i + 1')}) + {nibble.format(digits, '2 * i + 2')} AS BIGINT) FOR i IN range(length({digits}) // 2)]"
+    table = f"CAST({_crc_table()} AS BIGINT[])"
+    return f"xor(list_reduce({octets}, lambda a, b: xor(a >> 8, {table}[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+
+OP13 = f"""
+WITH doc AS (SELECT doc_id, {_words(LOWERED.format("text"), ALPHANUMERIC)} AS ws FROM documents),
+item AS (SELECT {_words(LOWERED.format("text"), ALPHANUMERIC)} AS ws FROM benchmark),
+mine AS (
+  SELECT doc_id, array_to_string(ws[i : i + n - 1], ' ') AS f, count(*) AS c
+  FROM doc, unnest([1, 2, 3]) AS k(n), unnest(range(1, len(ws) - n + 2)) AS t(i) GROUP BY ALL),
+theirs AS (
+  SELECT array_to_string(ws[i : i + n - 1], ' ') AS f, count(*) AS c
+  FROM item, unnest([1, 2, 3]) AS k(n), unnest(range(1, len(ws) - n + 2)) AS t(i) GROUP BY ALL),
+known AS MATERIALIZED (SELECT f, {_crc32("f")} % 10000 AS bucket FROM (SELECT f FROM mine UNION SELECT f FROM theirs)),
+s AS (SELECT bucket, sum(c) AS s FROM mine JOIN known USING (f) GROUP BY bucket),
+t AS (SELECT bucket, sum(c) AS t FROM theirs JOIN known USING (f) GROUP BY bucket),
+ratio AS (
+  SELECT bucket, (CAST(coalesce(t, 0) AS DOUBLE) + 1) * (CAST((SELECT coalesce(sum(s), 0) FROM s) AS DOUBLE) + 10000)
+    / ((CAST(s AS DOUBLE) + 1) * (CAST((SELECT coalesce(sum(t), 0) FROM t) AS DOUBLE) + 10000)) AS r
+  FROM s LEFT JOIN t USING (bucket)),
+weighed AS (
+  SELECT doc_id, CAST(sum(c) AS BIGINT) AS n_features, CAST(sum(c * CAST(floor(1000 * ln(r)) AS BIGINT)) AS BIGINT) AS weight
+  FROM mine JOIN known USING (f) JOIN ratio USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(ws) >= 20 AS eligible, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM doc LEFT JOIN weighed USING (doc_id)),
+ranked AS (
+  SELECT doc_id, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS BIGINT) AS rank, 5 * count(*) OVER () // 100 AS wanted FROM scored WHERE eligible)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= wanted THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+def _repair_step(state: int) -> str:
+    """Best {c, a, t} (cost, audit, lines) from a grammar state at row r, inserted turns not yet tried."""
+    forced, role = [(2, "user"), (2, "user"), (3, "assistant"), (2, "user")][state]
+    keep = {0: "CASE ini WHEN 's' THEN 2 WHEN 'u' THEN 3 END", 1: "CASE ini WHEN 'u' THEN 3 END", 2: "CASE ini WHEN 'a' THEN 4 END", 3: "CASE ini WHEN 'u' THEN 3 END"}[state]
+    return f"""list_min(list_filter([
+      {{c: v[{state + 1}].c + 2, a: 'D' || v[{state + 1}].a, t: v[{state + 1}].t}},
+      CASE WHEN NOT gone THEN {{c: v[{forced + 1}].c + 1 + extra, a: 'R' || v[{forced + 1}].a, t: list_prepend('{role}:' || text, v[{forced + 1}].t)}} END,
+      CASE WHEN NOT gone AND ({keep}) IS NOT NULL THEN {{c: v[{keep}].c + extra, a: 'K' || v[{keep}].a, t: list_prepend(role || ':' || text, v[{keep}].t)}} END
+    ], lambda x: x IS NOT NULL))"""
+
+
+def _insert(target: str, role: str) -> str:
+    return f"{{c: {target}.c + 5, a: 'I' || {target}.a, t: list_prepend('{role}:', {target}.t)}}"
+
+
+OP11 = f"""
+WITH RECURSIVE told AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations),
+after AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM told, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copies(copy)),
+placed AS (
+  SELECT *, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS pos,
+    regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS bare
+  FROM after),
+judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(right(bare, 1), '[.!?]') THEN 'truncated' END AS fault,
+    lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini AS pair, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM placed),
+r AS (SELECT conv_id, pos, n, ini, role, text, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM judged),
+go AS (
+  SELECT DISTINCT conv_id, n + 1 AS pos, [{{c: 0, a: '', t: CAST([] AS VARCHAR[])}}, {{c: 10, a: 'II', t: ['user:', 'assistant:']}}, {{c: 5, a: 'I', t: ['assistant:']}}, {{c: 0, a: '', t: CAST([] AS VARCHAR[])}}] AS v FROM r
+  UNION ALL
+  SELECT conv_id, pos, [list_min([b[1], {_insert("w[1]", "user")}]), list_min([b[2], {_insert("w[1]", "user")}]), w[1], w[2]] AS v
+  FROM (
+    SELECT conv_id, pos, b, [list_min([b[3], {_insert("b[4]", "assistant")}]), list_min([b[4], {_insert("b[3]", "user")}])] AS w
+    FROM (
+      SELECT r.conv_id, r.pos, [{", ".join(_repair_step(s) for s in range(4))}] AS b
+      FROM go JOIN r ON r.conv_id IS NOT DISTINCT FROM go.conv_id AND r.pos = go.pos - 1))),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(v[1].c, 0) AS BIGINT) AS cost, coalesce(v[1].a, '') AS audit, sha256(coalesce(array_to_string(v[1].t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS ids
+LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN go ON go.conv_id IS NOT DISTINCT FROM ids.conv_id AND go.pos = 1
+"""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from colloquy.llm.decontaminate import contamination, hits
 from colloquy.llm.frames import fold_of, table
-from colloquy.llm import covertree, html, langid, licenses, minhash, mixing, quality, simhash
+from colloquy.llm import covertree, dialogs, html, langid, licenses, minhash, mixing, quality, resampling, simhash
 from colloquy.llm.ctw import code_lengths
-from colloquy.llm.oracles import OP6, OP7, OP8, OP9, OP10
+from colloquy.llm.oracles import OP6, OP7, OP8, OP9, OP10, OP11, OP13
 from colloquy.llm.substrings import digest, remove_repeats
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -70,11 +70,24 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return hits(contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of the damaged conversations and their cheapest repairs."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    broken = dialogs.damaged(rows)
+    found = dialogs.diagnosed(broken)
+    return dialogs.digest(rows, found, dialogs.repaired(broken, found))
+
+
 def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents whose fingerprints differ in two bits or fewer."""
     return simhash.digest(simhash.near_duplicates(table(spark, folder, "documents")))
 
 
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A twentieth of the documents, drawn towards the benchmark's distribution."""
+    return resampling.digest(resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -86,6 +99,8 @@ QUERIES = {
     "op8_cover_tree": op8_cover_tree,
     "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_simhash": op12_simhash,
+    "op13_resampling": op13_resampling,
 }
-ORACLES = {"op6_substring_dedup": OP6, "op7_mixing": OP7, "op8_cover_tree": OP8, "op9_minhash": OP9, "op10_decontaminate": OP10}
+ORACLES = {"op6_substring_dedup": OP6, "op7_mixing": OP7, "op8_cover_tree": OP8, "op9_minhash": OP9, "op10_decontaminate": OP10, "op11_conversation_repair": OP11, "op13_resampling": OP13}

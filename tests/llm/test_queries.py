@@ -10,7 +10,7 @@ from colloquy.llm.queries import ORACLES, QUERIES
 def test_all_are_registered():
     names = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names)
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == [*range(1, 11), 12]
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -31,7 +31,9 @@ def test_columns(spark, small):
         "op8_cover_tree": [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")],
         "op9_minhash": [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint"), ("kept", "boolean")],
         "op10_decontaminate": [("doc_id", "bigint"), ("n_words", "bigint"), ("n_hit", "bigint"), ("n_items", "bigint"), ("items_sha256", "string"), ("contaminated", "boolean")],
+        "op11_conversation_repair": [("conv_id", "bigint"), *[(c, "bigint") for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], ("audit", "string"), ("repaired_sha256", "string")],
         "op12_simhash": [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")],
+        "op13_resampling": [("doc_id", "bigint"), ("n_features", "bigint"), ("weight", "bigint"), ("score", "bigint"), ("rank", "bigint")],
     }
     for name, columns in want.items():
         got = entry.queries()[name](spark, small)
