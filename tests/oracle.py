@@ -8,6 +8,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -24,7 +25,7 @@ def rows(frame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     out = []
     for row in frame.itertuples(index=False, name=None):
-        out.append(tuple("" if v is None or v != v else (repr(float(v)) if isinstance(v, float) else str(v)) for v in row))
+        out.append(tuple("" if v is None or v is pd.NA or v != v else (repr(float(v)) if isinstance(v, float) else str(v)) for v in row))
     return sorted(out)
 
 
@@ -33,7 +34,12 @@ def compare(spark, name: str, folder: str, con=None) -> dict:
 
     con = con or connect(folder)
     t0 = time.time()
-    got = entry.queries()[name](spark, folder).toPandas()
+    found = entry.queries()[name](spark, folder)
+    got = found.toPandas()
+    for column, kind in found.dtypes:
+        # Nulls would turn whole numbers into floats.
+        if kind in ("int", "bigint") and got[column].isna().any():
+            got[column] = got[column].astype("Int64")
     t1 = time.time()
     result = {"query": name, "rows": len(got), "spark_sec": round(t1 - t0, 2)}
     sql = entry.oracle_sql().get(name)
