@@ -102,12 +102,12 @@ def test_nodes_give_the_cheapest_and_least_edits():
 
 
 def test_conversations_after_damage(spark):
-    rows = [*talks(1, 70), (None, 1, "user", "Hello."), (None, None, "assistant", "There."), (1000, None, None, None)]
+    rows = [*talks(1, 45), (None, 1, "user", "Hello."), (None, None, "assistant", "There."), (1000, None, None, None)]
     assert found(damaged(frame(spark, rows))) == {conv: row for conv, row in brute(rows).items() if conv in {r.conv_id for r in damaged(frame(spark, rows)).collect()}}
 
 
 def test_query_returns_every_original_conversation(spark):
-    rows = [(conv, turn, "user" if turn % 2 == 0 else "assistant", f"Turn {turn}.") for conv in range(60) for turn in range(1 + conv % 2)]
+    rows = [(conv, turn, "user" if turn % 2 == 0 else "assistant", f"Turn {turn}.") for conv in range(200) for turn in range(1 + conv % 2)]
     data = frame(spark, rows)
     broken = damaged(data)
     seen = diagnosed(broken)
