@@ -3,10 +3,11 @@
 Signatures are minima of many universal hashes over a document's shingles; bands
 of them name candidates.  Documents with equal shingle sets are one node.  In a
 band's bucket every node is first compared with the bucket's smallest id.  What is
-then still in different components is compared by signature, and a node that
-nearly agrees with a member of another component is held against all its members
-on the full sets.  A large bucket of near copies therefore costs a star and not
-all its pairs, and no link between components is missed.
+then still in different components meets in a grid of blocks: signatures first tell which
+nodes have a hopeful partner in a place, then their full sets are compared inside the
+task, which passes on a spanning forest of the links.  A bucket of near copies
+therefore costs a star; a bucket of texts just below the threshold costs its comparisons,
+in bounded tasks, but no pair is ever written and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, GroupedData, functions as F
 
 from colloquy.llm.frames import long_of, stored
 from colloquy.llm.stars import components
@@ -28,10 +28,8 @@ SIMILARITY = 80
 BANDS, ROWS = 40, 5
 # Signature agreement below which a pair cannot reach the similarity: five standard deviations under it.
 AGREEMENT = 0.64
-# Nodes of a bucket that one task compares with the nodes outside its main component.
-BLOCK = 4096
-# Members of a component that one task holds against a block of nodes.
-MEMBERS = 256
+# Nodes of a bucket that meet as many nodes outside its main component in one place.
+BLOCK = 1024
 
 _SEED = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A, _B = _SEED[: BANDS * ROWS] | np.uint64(1), _SEED[BANDS * ROWS :]
@@ -153,92 +151,121 @@ def _fits(a: str, b: str, similarity: int):
     return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
 
 
-def _near_components(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
-    """``u, c``: a node and another component, one member of which shares a bucket and nearly agrees in signature.
+def _grid(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, down, over, stray, apart, id, component``: who meets whom in buckets that span several components.
 
-    Per bucket, the nodes outside its main component meet every block of the
-    bucket's nodes.  Of two components the one with the larger (members here, id)
-    is ``c``, so each pair is met from one side.
+    The nodes outside a bucket's main component (``apart``) and all its nodes are cut
+    into blocks, and each block of strays meets each block of members in one place.
     """
     placed = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
-    main = main.select("key", F.col("top.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("bigint").alias("blocks"))
-    open_rows = stored(placed.join(main, "key").join(nodes.select("id", "n", "sig"), "id"), "open")
-    cells = open_rows.count() // BLOCK + 1
-    fields = ["key", "block", "stray", "id", "n", "sig", "component"]
-    member = open_rows.withColumns({"block": F.pmod(F.xxhash64("id"), "blocks"), "stray": F.lit(False)}).select(fields)
-    stray = open_rows.filter("component <> main").withColumns({"block": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)), "stray": F.lit(True)}).select(fields)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "block"], kind="stable")
-        own = group["stray"].to_numpy()
-        key, block, ids, n, part = (group[c].to_numpy() for c in ("key", "block", "id", "n", "component"))
-        sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(len(group), -1)
-        heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
-        out: set[tuple[int, int]] = set()
-        for low, high in zip(heads, [*heads[1:], len(group)]):
-            base = low + np.flatnonzero(~own[low:high])
-            for i in low + np.flatnonzero(own[low:high]):
-                small, large = np.minimum(n[i], n[base]), np.maximum(n[i], n[base])
-                fits = base[(part[base] != part[i]) & (100 * small >= similarity * large)]
-                if not len(fits):
-                    continue
-                near = fits[(sig[fits] == sig[i]).mean(axis=1) >= AGREEMENT]
-                out.update((int(ids[i]), c) for c in np.unique(part[near]).tolist())
-        found = np.array(sorted(out), dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"u": found[:, 0], "c": found[:, 1]})
+    shape = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("every"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("bigint")
+    shape = shape.select("key", F.col("top.component").alias("main"), blocks(F.col("every")).alias("blocks"), blocks(F.col("every") - F.col("top.m")).alias("across"))
+    rows = stored(placed.join(shape, "key").withColumn("apart", F.col("component") != F.col("main")), "open")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    fields = ["key", "down", "over", "stray", "apart", "id", "component"]
+    member = rows.withColumns({"down": of("blocks"), "over": each("across"), "stray": F.lit(False)}).select(fields)
+    stray = rows.filter("apart").withColumns({"down": each("blocks"), "over": of("across"), "stray": F.lit(True)}).select(fields)
+    return member.unionByName(stray)
+
+
+def _by_cell(rows: DataFrame, total: int) -> GroupedData:
+    """Places of a grid, several to a cell of about ``BLOCK`` rows."""
+    return rows.withColumn("cell", F.pmod(F.xxhash64("key", "down", "over"), F.lit(total // BLOCK + 1))).groupBy("cell")
+
 
-    rows = member.unionByName(stray).withColumn("cell", F.pmod(F.xxhash64("key", "block"), F.lit(cells)))
-    return rows.groupBy("cell").applyInPandas(run, "u bigint, c bigint").distinct()
+def _places(cell: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the strays and of the members of each place in a cell."""
+    key, down, over, stray = (cell[c].to_numpy() for c in ("key", "down", "over", "stray"))
+    order = np.lexsort((over, down, key))
+    cut = np.flatnonzero((key[order][1:] != key[order][:-1]) | (down[order][1:] != down[order][:-1]) | (over[order][1:] != over[order][:-1])) + 1
+    for rows in np.split(order, cut):
+        yield rows[stray[rows]], rows[~stray[rows]]
 
 
-def _links_into(near: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """``u, v``: for each (node, component), one member that the node's full set is similar to, if there is one.
+def _hopeful(cell: pa.Table, similarity: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each stray with the members of other components that nearly agree with it in signature, best first.
 
-    The members of a component and the nodes held against it are cut into blocks,
-    and every node meets every member in exactly one task.
+    Of two strays, which are members too, the larger id is held against the smaller one,
+    and nodes that share several buckets meet in the one of their first common band.
     """
-    size = nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("c"))
-    shape = near.groupBy("c").agg(F.ceil(F.count("*") / (4 * MEMBERS)).cast("bigint").alias("across"))
-    shape = size.join(shape, "c").groupBy("c").agg(F.first("across").alias("across"), F.ceil(F.count("*") / MEMBERS).cast("bigint").alias("blocks"))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    fields = ["c", "down", "over", "stray", "id"]
-    member = size.join(shape, "c").withColumns({"down": of("blocks"), "over": each("across"), "stray": F.lit(False)}).select(fields)
-    stray = near.withColumnRenamed("u", "id").join(shape, "c").withColumns({"down": each("blocks"), "over": of("across"), "stray": F.lit(True)}).select(fields)
-    data = nodes.select("id", "n", "sig").join(sets, "id")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        own = group["stray"].to_numpy()
-        ids, n = group["id"].to_numpy(), group["n"].to_numpy()
-        sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(len(group), -1)
-        shingles = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
-        base = np.flatnonzero(~own)
+    ids, n, part, apart, key = (cell[c].to_numpy() for c in ("id", "n", "component", "apart", "key"))
+    sig = np.frombuffer(b"".join(cell["sig"].to_pylist()), dtype=np.uint8).reshape(cell.num_rows, -1)
+    bands = cell["bands"].combine_chunks().flatten().to_numpy().reshape(cell.num_rows, -1)
+    for strays, members in _places(cell):
+        if not len(strays) or not len(members):
+            continue
+        earlier = bands[:, : int(np.flatnonzero(bands[strays[0]] == key[strays[0]])[0])]
+        for i in strays.tolist():
+            small, large = np.minimum(n[i], n[members]), np.maximum(n[i], n[members])
+            fits = members[(part[members] != part[i]) & (~apart[members] | (ids[members] < ids[i])) & (100 * small >= similarity * large)]
+            fits = fits[~(earlier[fits] == earlier[i]).any(axis=1)]
+            if len(fits):
+                agree = (sig[fits] == sig[i]).mean(axis=1)
+                order = np.argsort(-agree, kind="stable")
+                near = fits[order][agree[order] >= AGREEMENT]
+                if len(near):
+                    yield i, near
+
+
+def _candidates(grid: DataFrame, nodes: DataFrame, total: int, similarity: int) -> DataFrame:
+    """The rows of ``grid`` that have a hopeful partner in their place; their full sets are worth a look."""
+    fields = "key bigint, down bigint, over bigint, stray boolean, apart boolean, id bigint, component bigint"
+
+    def run(cell: pa.Table) -> pa.Table:
+        kept = np.zeros(cell.num_rows, dtype=bool)
+        for i, near in _hopeful(cell, similarity):
+            kept[i] = True
+            kept[near] = True
+        return cell.select(["key", "down", "over", "stray", "apart", "id", "component"]).filter(pa.array(kept))
+
+    return _by_cell(grid.join(nodes.select("id", "n", "sig", "bands"), "id"), total).applyInArrow(run, fields)
+
+
+def _late_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, total: int, similarity: int) -> DataFrame:
+    """``u, v``: links confirmed on the full sets that join components within a place, a spanning forest of them."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        ids, n, part = (cell[c].to_numpy() for c in ("id", "n", "component"))
+        packed = cell["shingles"].combine_chunks()
+        shingles = lambda i: np.frombuffer(packed[int(i)].as_buffer(), dtype=np.uint64)
+        label: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := label.get(c, c)) != c:
+                label[c] = label.get(up, up)
+                c = up
+            return c
+
         out = []
-        for i in np.flatnonzero(own):
-            small, large = np.minimum(n[i], n[base]), np.maximum(n[i], n[base])
-            fits = base[100 * small >= similarity * large]
-            if not len(fits):
-                continue
-            agree = (sig[fits] == sig[i]).mean(axis=1)
-            order = np.argsort(-agree, kind="stable")
-            fits = fits[order][agree[order] >= AGREEMENT]
-            for low in range(0, len(fits), 32):
-                some = fits[low : low + 32]
-                every = np.concatenate([shingles[j] for j in some])
-                spot = np.searchsorted(shingles[i], every)
+        for i, near in _hopeful(cell, similarity):
+            mine = shingles(i)
+            for low in range(0, len(near), 32):
+                some = [j for j in near[low : low + 32].tolist() if root(int(part[j])) != root(int(part[i]))]
+                if not some:
+                    continue
+                every, lengths = np.concatenate([shingles(j) for j in some]), n[some]
+                spot = np.searchsorted(mine, every)
                 spot[spot == n[i]] = 0
-                lengths = n[some]
-                both = np.add.reduceat((shingles[i][spot] == every).astype(np.int64), np.cumsum(lengths) - lengths)
-                good = some[100 * both >= similarity * (n[i] + lengths - both)]
-                if len(good):
-                    out.append((ids[i], ids[good[0]]))
-                    break
+                both = np.add.reduceat((mine[spot] == every).astype(np.int64), np.cumsum(lengths) - lengths)
+                for j in np.array(some)[100 * both >= similarity * (n[i] + lengths - both)].tolist():
+                    a, b = root(int(part[i])), root(int(part[j]))
+                    if a != b:
+                        label[max(a, b)] = min(a, b)
+                        out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
         found = np.array(out, dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"u": found.max(axis=1), "v": found.min(axis=1)})
+        return pa.table({"u": found[:, 0], "v": found[:, 1]})
+
+    return _by_cell(rows.join(nodes.select("id", "n", "sig", "bands"), "id").join(sets, "id"), total).applyInArrow(run, "u bigint, v bigint")
+
 
-    return member.unionByName(stray).join(data, "id").groupBy("c", "down", "over").applyInPandas(run, "u bigint, v bigint")
+def late_links(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links between the components ``labels`` of nodes that share a bucket ``key, id``; fewer than the rows that meet."""
+    grid = stored(_grid(buckets, labels), "grid")
+    rows = stored(_candidates(grid, nodes, grid.count(), similarity), "candidates")
+    return stored(_late_links(rows, nodes, sets, rows.count(), similarity), "late")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,8 +293,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     same = copies.filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     links = tried.filter("ok").select("u", "v").union(same)
     labels = components(links)
-    near = stored(_near_components(buckets.select("key", "id"), nodes, labels, similarity), "near")
-    late = stored(_links_into(near, nodes, labels, sets, similarity), "late")
+    late = late_links(buckets.select("key", "id"), nodes, labels, sets, similarity)
     labels = components(links.union(late))
     return marks.select("id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from colloquy.llm import minhash
 from colloquy.llm.minhash import digest, near_duplicates
 from colloquy.llm.stars import components
 from tests.llm.helpers import awkward, blank_words, frame, prose
@@ -52,6 +53,44 @@ def test_groups_around_the_threshold(spark):
     assert found(frame(spark, rows), 2) == brute([(r[0], r[1]) for r in rows], 2)
 
 
+def test_family_below_the_threshold_writes_no_pairs(spark, monkeypatch):
+    """Texts of one family of similarity 0.7: what tasks emit grows with the texts, not with their pairs."""
+    emitted = {}
+    for size in (400, 800):
+        pick = random.Random(1)
+        base = prose(21, 120).split()
+        rows = []
+        for i in range(size):
+            ws = list(base)
+            for p in pick.sample(range(120), 10):
+                ws[p] = f"n{i}x{p}"
+            rows.append((i, " ".join(ws), "en", "a"))
+        # Two texts that do link, far from each other.
+        rows[size - 1] = (size - 1, rows[3][1] + " end", "en", "a")
+        counts = []
+        plain = minhash.stored
+        monkeypatch.setattr(minhash, "stored", lambda df, name: _counted(plain(df, name), name, counts))
+        got = found(frame(spark, rows), 2)
+        monkeypatch.setattr(minhash, "stored", plain)
+        assert {i: c for i, (_, c) in got.items() if i != c} == {size - 1: 3}
+        emitted[size] = dict(counts)
+    for name in ("late", "confirmed", "grid"):
+        assert emitted[800][name] <= 2.6 * max(emitted[400][name], 10), name
+    # Hopeful rows are a part of the rows that meet, however many partners each has.
+    assert emitted[400]["candidates"] <= emitted[400]["grid"] and emitted[800]["candidates"] <= emitted[800]["grid"]
+
+
+def _counted(df, name, counts):
+    counts.append((name, df.count()))
+    return df
+
+
+def test_blocks_of_a_bucket_lose_no_link(spark, monkeypatch):
+    """Small blocks: every pair of blocks meets once."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    test_groups_around_the_threshold(spark)
+
+
 def test_repeated_rows_and_null_ids(spark):
     docs = frame(spark, [(5, "a b c d", "en", "a"), (5, "a b c d", "en", "a"), (2, "A b c d", "en", "a"), (None, "a b c d", None, None)])
     got = digest(near_duplicates(docs, 2)).collect()
