@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.catalog.registry import query
 from colloquy.catalog.retrieval import _CENTROIDS
-from colloquy.catalog.sqlparts import vector_topk_sql
+from colloquy.catalog.sqlparts import assignment_sql, vector_topk_sql
 from colloquy.config import BOUNDARY_FRAGMENTS
 from colloquy.functions.names import NON_NAMES
 from colloquy.operators import dense, fragments, graph, naming, speakers
@@ -218,9 +218,19 @@ def alias_stage_self(spark: SparkSession, d: str) -> DataFrame:
     return naming.alias_from_self(naming.alias_stats(alias_events(spark, d)))
 
 
-@query()
+_SELF_SQL = """r AS (SELECT *, row_number() OVER (PARTITION BY case_id, stable ORDER BY self_count DESC, alias DESC) AS n, lead(self_count) OVER (PARTITION BY case_id, stable ORDER BY self_count DESC, alias DESC) AS nxt FROM st WHERE self_count > 0),
+own AS (SELECT case_id, stable, alias FROM r WHERE n = 1 AND (nxt IS NULL OR nxt < self_count) QUALIFY count(*) OVER (PARTITION BY case_id, alias) = 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_ALIAS_SQL}, {_SELF_SQL},
+backed AS (SELECT case_id, stable, alias, direct_count * 1000 + direct_sessions * 100 AS score FROM st ANTI JOIN own USING (case_id, stable) ANTI JOIN (SELECT case_id, alias FROM own) USING (case_id, alias)
+  WHERE self_count = 0 AND direct_count >= 2 AND direct_sessions >= 2),
+{assignment_sql("joint", "backed", "stable", "alias", "score")}
+SELECT case_id, stable, alias, 'self_identification' AS reason FROM own UNION ALL SELECT case_id, stable, alias, 'global_one_to_one_direct_response' FROM joint"""
+)
 def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Self claims first, then a joint one-to-one assignment per case."""
+    """Self claims first, then a joint one-to-one assignment on the connected parts of each case."""
     events = alias_events(spark, d)
     identities = events.select("case_id", "stable").distinct().withColumn("current", F.lit(""))
     return naming.resolve_aliases(naming.alias_stats(events), identities)
@@ -237,21 +247,30 @@ def cluster_naming(spark: SparkSession, d: str) -> DataFrame:
 _NEAREST_SQL = f"{_CENTROIDS}, s AS (SELECT e.vec_id, e.label AS gold, c.label AS pred, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_dot_product(CAST(e.embedding AS DOUBLE[]), c.vec), 9) DESC, c.label) AS n FROM embeddings e, cent c)"
 
 
-def confusion(spark: SparkSession, d: str, *case) -> DataFrame:
+def nearest_labels(spark: SparkSession, d: str) -> DataFrame:
+    """``(vec_id, gold, pred)``: the label of every vector and that of its nearest prototype."""
     e = table(spark, d, "embeddings")
     centers = dense.mean_vectors(e, "label", "embedding")
     nearest = dense.nearest_queries(e, centers, 1, node="vec_id", vec="embedding", qid="label").select(F.col("node_id").alias("vec_id"), F.col("query_id").alias("pred"))
-    return e.select("vec_id", F.col("label").alias("gold")).join(nearest, "vec_id").groupBy(*case, "gold", "pred").agg(F.count("*").alias("n"))
+    return e.select("vec_id", F.col("label").alias("gold")).join(nearest, "vec_id")
+
+
+def confusion(spark: SparkSession, d: str) -> DataFrame:
+    return nearest_labels(spark, d).groupBy("gold", "pred").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_NEAREST_SQL} SELECT gold, pred, count(*) AS n FROM s WHERE n = 1 GROUP BY gold, pred")
 def cluster_purity(spark: SparkSession, d: str) -> DataFrame:
     """Label against nearest prototype, counted."""
-    return confusion(spark, d).select("gold", "pred", "n")
+    return confusion(spark, d)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_NEAREST_SQL}, {TURN_VECTORS_SQL},
+conf AS (SELECT case_id, CAST(gold AS VARCHAR) AS gold, CAST(pred AS VARCHAR) AS pred, count(*) AS n FROM turn_vectors JOIN (SELECT vec_id, gold, pred FROM s WHERE n = 1) USING (vec_id) GROUP BY ALL),
+{assignment_sql("best", "conf", "gold", "pred", "n")} SELECT * FROM best"""
+)
 def cluster_gold_matching(spark: SparkSession, d: str) -> DataFrame:
-    """Best one-to-one pairing of prototypes and labels in every case of 128 vectors."""
-    case = F.format_string("C%04d", F.floor(F.col("vec_id") / 128)).alias("case_id")
-    return speakers.gold_matching(confusion(spark, d, case))
+    """Best one-to-one pairing of prototypes and labels over the turns of every case."""
+    heard = turn_vectors(spark, d).select("case_id", "vec_id").join(nearest_labels(spark, d), "vec_id")
+    return speakers.gold_matching(heard.groupBy("case_id", "gold", "pred").agg(F.count("*").alias("n")))

@@ -51,3 +51,25 @@ def rrf_sql(name: str, source: str, k: int | None = None) -> str:
 {name}_f AS (SELECT qid, node, sum(weight / (60 + rank)) AS score, min(ch * 100000 + rank) AS first FROM {source} GROUP BY qid, node),
 {name} AS (SELECT * FROM (SELECT qid, node, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, first, node) AS INTEGER) AS rank
   FROM {name}_f) {limit})"""
+
+
+def assignment_sql(name: str, support: str, left: str, right: str, gain: str) -> str:
+    """CTEs ending in ``name(case_id, left, right, gain)``: best one-to-one pairs by subsets of partners.
+
+    They need ``WITH RECURSIVE``.
+    """
+    return f"""
+{name}_l AS (SELECT case_id, {left}, row_number() OVER (PARTITION BY case_id ORDER BY {left}) AS i FROM (SELECT DISTINCT case_id, {left} FROM {support})),
+{name}_r AS (SELECT case_id, {right}, 1 << (row_number() OVER (PARTITION BY case_id ORDER BY {right}) - 1) AS bit FROM (SELECT DISTINCT case_id, {right} FROM {support})),
+{name}_o AS (SELECT case_id, i, '' AS pick, 0 AS bit, 0 AS gain, 0 AS one FROM {name}_l
+  UNION ALL SELECT case_id, i, {right}, bit, {gain}, 1 FROM {support} JOIN {name}_l USING (case_id, {left}) JOIN {name}_r USING (case_id, {right})),
+{name}_d AS (
+  SELECT DISTINCT case_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS mask, CAST(0 AS BIGINT) AS score, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS picks FROM {support}
+  UNION ALL
+  SELECT case_id, i, mask, score, n, picks FROM (
+    SELECT d.case_id, CAST(o.i AS BIGINT) AS i, CAST(d.mask + o.bit AS BIGINT) AS mask, CAST(d.score + o.gain AS BIGINT) AS score, CAST(d.n + o.one AS BIGINT) AS n, list_append(d.picks, o.pick) AS picks,
+      row_number() OVER (PARTITION BY d.case_id, d.mask + o.bit ORDER BY d.score + o.gain DESC, d.n + o.one DESC, list_append(d.picks, o.pick)) AS place
+    FROM {name}_d d JOIN {name}_o o ON o.case_id = d.case_id AND o.i = d.i + 1 AND (d.mask & o.bit) = 0) WHERE place = 1),
+{name}_b AS (SELECT d.case_id, picks FROM {name}_d d JOIN (SELECT case_id, max(i) AS i FROM {name}_l GROUP BY case_id) USING (case_id, i)
+  QUALIFY row_number() OVER (PARTITION BY d.case_id ORDER BY score DESC, n DESC, picks) = 1),
+{name} AS (SELECT case_id, {left}, {right}, {gain} FROM {name}_b JOIN {name}_l USING (case_id) JOIN {support} USING (case_id, {left}) WHERE {right} = picks[i])"""

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from colloquy.functions import names as N
 from colloquy.functions.dates import session_number
+from colloquy.operators.assignment import assignments
 from colloquy.operators.folds import ordered_fold
 from colloquy.operators.ranking import top_k
 
@@ -218,7 +219,7 @@ def alias_from_self(stats: DataFrame) -> DataFrame:
 
 
 def resolve_aliases(stats: DataFrame, identities: DataFrame) -> DataFrame:
-    """``(case_id, stable, alias, reason)``: self claims, kept names, then a joint assignment.
+    """``(case_id, stable, alias, reason)``: self claims, kept names, then a joint assignment of most support.
 
     ``identities(case_id, stable, current)`` where ``current`` is the alias key of
     the name so far.
@@ -233,33 +234,5 @@ def resolve_aliases(stats: DataFrame, identities: DataFrame) -> DataFrame:
     backed = left.filter((F.col("self_count") == 0) & (F.col("direct_count") >= MIN_EVENTS) & (F.col("direct_sessions") >= MIN_SESSIONS))
     scored = backed.select("case_id", "stable", "alias", (F.col("direct_count") * 1000 + F.col("direct_sessions") * 100).alias("score"))
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen = joint_assignment({s: dict(zip(g["alias"], g["score"])) for s, g in pdf.groupby("stable")})
-        return pd.DataFrame([(pdf["case_id"].iloc[0], s, a) for s, a in chosen.items()], columns=["case_id", "stable", "alias"])
-
-    # Only aliases with repeated support across sessions get here.
-    joint = scored.groupBy("case_id").applyInPandas(assign, "case_id string, stable string, alias string")
+    joint = assignments(scored, "case_id", "stable", "alias", "score").drop("score")
     return settled.unionByName(joint.withColumn("reason", F.lit("global_one_to_one_direct_response")))
-
-
-def joint_assignment(scores: dict[str, dict[str, int]]) -> dict[str, str]:
-    """One alias per identity and one identity per alias with most support.
-
-    More assigned identities win on equal support, then the smaller choice in
-    identity order, where leaving one open is smallest.
-    """
-    order = sorted(scores)
-    bit = {a: 1 << i for i, a in enumerate(sorted({a for row in scores.values() for a in row}))}
-    states: dict[int, tuple[int, int, tuple[str, ...]]] = {0: (0, 0, ())}
-    for stable in order:
-        grown: dict[int, tuple[int, int, tuple[str, ...]]] = {}
-        for used, (score, count, picks) in states.items():
-            options = [("", 0, 0)] + [(a, s, bit[a]) for a, s in scores[stable].items() if not used & bit[a]]
-            for alias, gain, mark in options:
-                new = (score + gain, count + (alias != ""), (*picks, alias))
-                old = grown.get(used | mark)
-                if old is None or (-new[0], -new[1], new[2]) < (-old[0], -old[1], old[2]):
-                    grown[used | mark] = new
-        states = grown
-    best = min(states.values(), key=lambda s: (-s[0], -s[1], s[2]))
-    return {s: a for s, a in zip(order, best[2]) if a}

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.config import AskerPolicy, OnlinePolicy
+from colloquy.operators.assignment import assignments
 from colloquy.operators.folds import ordered_fold
 
 DECISION = "speaker string, created boolean, top_cosine double, runner_up double, updated boolean"
@@ -104,54 +105,6 @@ def asker_confidence(ranked: DataFrame, keys: list[str], policy: AskerPolicy = A
     return two.withColumn("margin", margin).withColumn("confidence", tier).drop("_second")
 
 
-def best_matching(weights: np.ndarray) -> list[tuple[int, int]]:
-    """Row-column pairs of largest total weight, by shortest augmenting paths."""
-    cost = -weights.astype(np.float64)
-    flip = cost.shape[0] > cost.shape[1]
-    if flip:
-        cost = cost.T
-    n, m = cost.shape
-    row_price, col_price, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
-    for start in range(n):
-        slack, came, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, dtype=bool)
-        row, col = start, -1
-        tree = [start]
-        while True:
-            reduced = cost[row] - row_price[row] - col_price
-            better = ~done & (reduced < slack)
-            slack[better], came[better] = reduced[better], col
-            nxt = int(np.argmin(np.where(done, np.inf, slack)))
-            delta = slack[nxt]
-            row_price[tree] += delta
-            col_price[done] -= delta
-            slack[~done] -= delta
-            done[nxt], col = True, nxt
-            if owner[nxt] < 0:
-                break
-            row = int(owner[nxt])
-            tree.append(row)
-        while col >= 0:
-            previous = came[col]
-            owner[col] = owner[previous] if previous >= 0 else start
-            col = int(previous)
-    pairs = [(int(owner[c]), c) for c in range(m) if owner[c] >= 0]
-    return [(c, r) for r, c in pairs] if flip else pairs
-
-
 def gold_matching(confusion: DataFrame, case: str = "case_id") -> DataFrame:
-    """One-to-one cluster-to-speaker pairs per case from ``(case, gold, pred, n)``.
-
-    The input is already counted, so a case costs one small matrix.
-    """
-    ctype = dict(confusion.dtypes)[case]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="gold", columns="pred", values="n", aggfunc="sum", fill_value=0).sort_index().sort_index(axis=1)
-        pairs = best_matching(table.to_numpy())
-        return pd.DataFrame(
-            {case: pdf[case].iloc[0], "gold": [table.index[r] for r, _ in pairs], "pred": [table.columns[c] for _, c in pairs], "n": [int(table.iat[r, c]) for r, c in pairs]}
-        )
-
-    return confusion.select(case, F.col("gold").cast("string"), F.col("pred").cast("string"), "n").groupBy(case).applyInPandas(
-        run, f"{case} {ctype}, gold string, pred string, n bigint"
-    )
+    """One-to-one cluster-to-speaker pairs per case from counted ``(case, gold, pred, n)``, most turns first."""
+    return assignments(confusion.filter("n > 0"), case, "gold", "pred", "n")

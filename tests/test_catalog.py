@@ -6,8 +6,8 @@ import oracle
 from colloquy.catalog import ORACLES, QUERIES
 
 ROWS_ONLY = {
-    "pack_context", "evidence_bundles", "anchor_pack", "reconcile_fragments", "online_speaker_match", "alias_resolution",
-    "cluster_naming", "cluster_gold_matching", "stream_speaker_match", "executor_context", "iterative_rounds", "boundary_identities",
+    "pack_context", "evidence_bundles", "anchor_pack", "reconcile_fragments", "online_speaker_match",
+    "cluster_naming", "stream_speaker_match", "executor_context", "iterative_rounds", "boundary_identities",
 }
 # Long jobs run once, in the tests below.
 SEPARATE = {"executor_context", "iterative_rounds", "stream_speaker_match", "online_speaker_match", "reconcile_fragments", "boundary_identities"}

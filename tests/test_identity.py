@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.config import FragmentPolicy
+from colloquy.operators.assignment import assign, assignments
 from colloquy.operators import context, facts, fragments, graph, naming, speakers
 
 TURN = "case_id string, session_id string, turn_idx int, cluster string, text string"
@@ -54,7 +55,33 @@ def test_joint_assignment_equals_enumeration():
             if len(used) == len(set(used)):
                 key = (-sum(scores[s][p] for s, p in zip(ids, pick) if p), -len(used), pick)
                 best = key if best is None or key < best else best
-        assert naming.joint_assignment(scores) == {s: p for s, p in zip(ids, best[2]) if p}
+        assert assign(scores) == {s: p for s, p in zip(ids, best[2]) if p}
+
+
+def test_assignment_of_forty_aliases(spark):
+    """No state per subset: forty rivals for forty aliases, and what parts of a case share nothing."""
+    rng = random.Random(4)
+    ids, names = [f"s{i:02d}" for i in range(40)], [f"n{i:02d}" for i in range(40)]
+    scores = {s: {n: rng.randint(1, 40) for n in rng.sample(names, 12)} for s in ids}
+    chosen = assign(scores)
+    assert len(set(chosen.values())) == len(chosen)
+    # Subsets of partners still check a corner of it.
+    corner = {s: {n: g for n, g in scores[s].items() if n in names[:12]} for s in ids[:12]}
+    best = {0: 0}
+    for row in corner.values():
+        grown = dict(best)
+        for used, value in best.items():
+            for n, g in row.items():
+                bit = 1 << names.index(n)
+                if not used & bit:
+                    grown[used | bit] = max(grown.get(used | bit, 0), value + g)
+        best = grown
+    assert sum(corner[s][n] for s, n in assign(corner).items()) == max(best.values())
+    rows = [("C", s, n, g) for s, row in scores.items() for n, g in row.items()] + [("D", "x", "al", 5), ("D", "y", "al", 5), ("D", "z", "bo", 1)]
+    got = {(r.case_id, r.stable): r.alias for r in assignments(spark.createDataFrame(rows, "case_id string, stable string, alias string, score bigint"), "case_id", "stable", "alias", "score").collect()}
+    assert {s: a for (c, s), a in got.items() if c == "C"} == chosen
+    # An equal claim leaves the first name open: the smallest choice.
+    assert {s: a for (c, s), a in got.items() if c == "D"} == {"y": "al", "z": "bo"}
 
 
 def test_alias_stages(spark):
@@ -136,14 +163,14 @@ def test_registry_matches_updates_and_tiers(spark):
     assert {r.q: r.confidence for r in out.collect()} == {"hi": "high", "lo": "low", "no": "unresolved"}
 
 
-def test_best_matching_equals_enumeration():
+def test_largest_assignment_equals_enumeration():
     rng = np.random.default_rng(8)
     for _ in range(60):
-        w = rng.integers(0, 9, size=(rng.integers(1, 5), rng.integers(1, 5)))
+        w = rng.integers(1, 9, size=(rng.integers(1, 5), rng.integers(1, 5)))
         tall = w if w.shape[0] >= w.shape[1] else w.T
         best = max(sum(tall[r, c] for c, r in enumerate(p)) for p in itertools.permutations(range(tall.shape[0]), tall.shape[1]))
-        pairs = speakers.best_matching(w)
-        assert sum(w[r, c] for r, c in pairs) == best and len({r for r, _ in pairs}) == len({c for _, c in pairs}) == min(w.shape)
+        pairs = assign({str(r): {str(c): int(w[r, c]) for c in range(w.shape[1])} for r in range(w.shape[0])})
+        assert sum(w[int(r), int(c)] for r, c in pairs.items()) == best and len(pairs) == len(set(pairs.values())) == min(w.shape)
 
 
 def test_hints_speakers_and_unanimity(spark):
