@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from colloquy.catalog.registry import query
 from colloquy.catalog.retrieval import anchors
 from colloquy.catalog.sqlparts import coverage_sql, informative_sql
+from colloquy.functions.text import coverage
 from colloquy.operators import bm25, collections, fusion, projection, relations
 from colloquy.operators.lookup import fetch
 from colloquy.operators.ranking import by_score, top_k
@@ -205,17 +206,12 @@ def profile_state_expansion(spark: SparkSession, d: str) -> DataFrame:
     roles = F.array(F.struct(F.col("source_speaker_ref").alias("stable"), F.lit(True).alias("spoke")), F.struct(F.col("addressee").alias("stable"), F.lit(False).alias("spoke")))
     owned = f.select("node_id", "text", F.explode(roles).alias("r")).select("node_id", "text", "r.stable", "r.spoke")
     # Facts enter by shared words or by their place in the fact ranking.
-    shared = relations.shared_coverage(q, owned, ("stable",))
-    cov = shared.filter("coverage >= 0.18")
+    entered = relations.covering(q, owned, 0.18, ("stable",)).select("query_id", "node_id")
     hits = fact_hits(spark, d).select("query_id", "node_id", (F.col("rank") - 1).alias("r0"))
-    entered = cov.select("query_id", "node_id").union(hits.select("query_id", "node_id")).distinct()
-    kept = (
-        entered.join(q.select("query_id", "stable"), "query_id")
-        .join(owned.select("node_id", "stable", "spoke"), ["node_id", "stable"])
-        .join(shared, ["query_id", "node_id"], "left")
-        .join(hits, ["query_id", "node_id"], "left")
-        .fillna({"coverage": 0.0, "r0": 10**6})
-    )
+    both = entered.withColumn("r0", F.lit(None).cast("int")).unionByName(hits.withColumn("r0", F.col("r0").cast("int")))
+    listed = both.groupBy("query_id", "node_id").agg(F.min("r0").alias("r0")).join(q.select("query_id", "stable", F.col("text").alias("question")), "query_id")
+    # Only what has entered is compared word by word.
+    kept = fetch(listed, owned, "node_id", "stable").select("query_id", "node_id", "spoke", F.coalesce("r0", F.lit(10**6)).alias("r0"), coverage("question", "text").alias("coverage"))
     raw = turns(spark, d).select("ref", "session_id", "ordinal")
     refs = fact_refs(f).select("node_id", "ref")
     kept = cut_lineage(kept)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.text import informative, tokens
 from colloquy.operators.lookup import fetch
+from colloquy.operators.overlap import overlap_join
 from colloquy.operators.ranking import by_score, top_k
 from colloquy.session import cut_lineage
 
@@ -54,16 +55,18 @@ def expand(anchors: DataFrame, raw: DataFrame, addressed_refs: DataFrame, keys:
     return top_k(flat, list(keys), by_score("priority", "anchor_ref", "other"), max_rows)
 
 
-def shared_coverage(questions: DataFrame, nodes: DataFrame, scope: tuple[str, ...] = (), keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """``(keys, node_id, coverage)`` for pairs that share an informative token.
+def covering(questions: DataFrame, nodes: DataFrame, share: float, scope: tuple[str, ...] = (), keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """``(keys, node_id, coverage)`` of the nodes that hold at least ``share`` of a question's informative tokens.
 
-    Pairs come from a token join, never from pairing every question with every node.
+    The share is a number of tokens to have in common, so a pair that shares fewer is
+    never formed; see :func:`overlap_join`.
     """
-    wanted = questions.select(*keys, *scope, informative(tokens("text")).alias("_t"))
-    q = wanted.select(*keys, *scope, F.size("_t").alias("_n"), F.explode("_t").alias("term"))
-    t = nodes.select("node_id", *scope, F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    hits = q.join(t, [*scope, "term"]).groupBy(*keys, "node_id", "_n").agg(F.count("*").alias("_k"))
-    return hits.select(*keys, "node_id", (F.col("_k").cast("double") / F.col("_n")).alias("coverage"))
+    wanted = questions.select(*keys, *scope, informative(tokens("text")).alias("tokens")).filter("size(tokens) > 0")
+    # Rounded before the ceiling, so that a share of exactly so many tokens counts.
+    least = F.greatest(F.ceil(F.round(F.size("tokens") * F.lit(share), 9)), F.lit(1)).cast("int")
+    held = nodes.select("node_id", *scope, F.array_distinct(tokens("text")).alias("tokens"))
+    met = overlap_join(wanted.withColumn("least", least), held, list(keys), scope=scope)
+    return met.join(wanted.select(*keys, F.size("tokens").alias("_n")), list(keys)).select(*keys, "node_id", (F.col("shared").cast("double") / F.col("_n")).alias("coverage"))
 
 
 def coherence(fact_places: DataFrame, hits: DataFrame, keys: tuple[str, ...] = ("query_id",), reach: float = 8.0, damping: float = 6.0) -> DataFrame:
