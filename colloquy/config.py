@@ -64,10 +64,11 @@ class ExecutorProfile:
     member_facts: int = 8
     quota_floor: int = 2
     quota_cap: int = 8
-    media_columns: tuple[str, ...] = ("images", "source_image_ids")
+    # A collection stands for the turns it cites, in order, instead of for its best member facts.
+    promote_refs: bool = False
 
 
-GALLERY = ExecutorProfile()
+GALLERY = ExecutorProfile(promote_refs=True)
 MULTI_PARTY = ExecutorProfile()
 AUDIO = ExecutorProfile(neighbor_radius=0, consensus=False, quota_cap=2)
 

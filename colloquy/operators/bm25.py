@@ -87,13 +87,15 @@ def term_stats(index: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return stats.withColumn("idf", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
-def score(index: DataFrame, terms: DataFrame, scope: tuple[str, ...] = (), keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+def score(index: DataFrame, terms: DataFrame, scope: tuple[str, ...] = (), keys: tuple[str, ...] = ("query_id",), stats: DataFrame | None = None) -> DataFrame:
     """``(scope, keys, node_id, score)`` for every pair that shares a term.
 
     The joined side is one row per question term; adaptive execution splits the
-    postings of a term that most documents contain.
+    postings of a term that most documents contain.  ``stats`` are statistics of a
+    larger index of which ``index`` is a part; without them each scope has its own.
     """
-    weights = terms.join(term_stats(index, scope), [*scope, "term"]).select(*scope, *keys, "term", "idf", "avgdl")
+    known = terms.join(term_stats(index, scope), [*scope, "term"]) if stats is None else terms.join(stats, "term")
+    weights = known.select(*scope, *keys, "term", "idf", "avgdl")
     tf = F.col("tf").cast("double")
     length = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-6)))
     hit = F.col("idf") * tf * (K1 + 1.0) / (tf + length)

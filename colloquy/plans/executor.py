@@ -30,15 +30,19 @@ class Memory:
     encode: Callable[[DataFrame, str, str], DataFrame]
     captions: DataFrame | None = None  # ref, text
     images: DataFrame | None = None  # ref, vec
+    media: DataFrame | None = None  # node_id, ref: turns that show an image which a fact cites
+    collection_refs: DataFrame | None = None  # node_id, pos, ref
+    question_images: DataFrame | None = None  # query_id, vec
 
     def fact_refs(self) -> DataFrame:
         return self.facts.select("node_id", F.posexplode("refer_ids").alias("pos", "ref"))
 
 
-def work_items(plans: DataFrame) -> DataFrame:
+def work_items(plans: DataFrame, own_image: DataFrame | None = None) -> DataFrame:
     """One row per question, route and retriever; channels sort by first use.
 
-    Equal requests of several questions share one ``request_id``.
+    Equal requests of several questions share one ``request_id``.  An image request of a
+    question in ``own_image(query_id)`` is about its own image, and so its own.
     """
     p = F.col("plan")
     routes = plans.select("query_id", p["rewritten_query"].alias("_rw"), p["time_range"].alias("time_range"), F.posexplode(p["routes"]).alias("route", "r"))
@@ -47,7 +51,13 @@ def work_items(plans: DataFrame) -> DataFrame:
     first = flat.groupBy("query_id", "layer", "retriever").agg(F.min("_at").alias("_first"))
     named = flat.join(first, ["query_id", "layer", "retriever"])
     channel = F.format_string("%03d.%s.%s", "_first", "layer", "retriever")
-    return named.select("query_id", "time_range", "layer", "retriever", "text", channel.alias("channel"), F.col("route").alias("variant"), F.sha1("text").alias("request_id"))
+    if own_image is None:
+        request = F.sha1("text")
+    else:
+        named = named.join(own_image.select("query_id", F.lit(True).alias("_own")), "query_id", "left")
+        own = F.coalesce("_own", F.lit(False)) & (F.col("retriever") == "image")
+        request = F.when(own, F.concat(F.lit("image:"), F.col("query_id").cast("string"))).otherwise(F.sha1("text"))
+    return named.select("query_id", "time_range", "layer", "retriever", "text", channel.alias("channel"), F.col("route").alias("variant"), request.alias("request_id"))
 
 
 def _requests(work: DataFrame, layer: str, retriever: str) -> DataFrame:
@@ -63,6 +73,15 @@ def _visual(memory: Memory, retriever: str, encoded: DataFrame, k: int) -> DataF
     return dense.dense_topk(memory.encode(source, "ref", "text") if retriever == "caption" else source, encoded, k, node="ref")
 
 
+def _request_vectors(asked: DataFrame, memory: Memory, retriever: str) -> DataFrame:
+    """``(query_id, vec)`` of requests: an image request asks by the question's image where there is one, else by its text."""
+    if retriever != "image" or memory.question_images is None:
+        return memory.encode(asked, "query_id", "text")
+    shown = memory.question_images.select(F.concat(F.lit("image:"), F.col("query_id").cast("string")).alias("query_id"), "vec")
+    by_image = asked.select("query_id").join(shown, "query_id")
+    return memory.encode(asked.join(shown, "query_id", "left_anti"), "query_id", "text").unionByName(by_image)
+
+
 def ranked_requests(work: DataFrame, memory: Memory, k: int) -> DataFrame:
     """``(layer, retriever, request_id, rank, node_id)`` for every distinct request."""
     layers = {"raw": memory.raw.select(F.col("ref").alias("node_id"), "text"), "fact": memory.facts.select("node_id", "text")}
@@ -79,7 +98,7 @@ def ranked_requests(work: DataFrame, memory: Memory, k: int) -> DataFrame:
             elif retriever == "bm25":
                 hits = bm25.group_topk(memory.facts.select("collection_id", "text"), "collection_id", "text", bm25.question_terms(asked), k)
             else:
-                encoded = memory.encode(asked, "query_id", "text")
+                encoded = _request_vectors(asked, memory, retriever)
                 if retriever == "dense":
                     corpus = memory.collection_vectors if layer == "collection" else memory.encode(layers[layer], "node_id", "text")
                     hits = dense.dense_topk(corpus, encoded, k)
@@ -109,7 +128,7 @@ def channels(plans: DataFrame, memory: Memory, profile: ExecutorProfile) -> tupl
     """Raw-layer lists (facts already projected) and collection lists."""
     # Ranked lists are a few dozen rows per question; each stage is written once
     # because several later steps read it.
-    work = cut_lineage(work_items(plans))
+    work = cut_lineage(work_items(plans, memory.question_images))
     hits = ranked_requests(work, memory, profile.candidate_k)
     lists = work.drop("text").join(hits, ["layer", "retriever", "request_id"])
     dates = memory.raw.select(F.col("ref").alias("node_id"), "date")
@@ -120,7 +139,7 @@ def channels(plans: DataFrame, memory: Memory, profile: ExecutorProfile) -> tupl
     head = ["query_id", "channel", "variant"]
     raw = memory.raw.select("ref", "session_id", "ordinal")
     upper = lists.filter("layer = 'fact'").select(*head, "rank", "node_id")
-    grounded = projection.grounding(upper, memory.fact_refs(), raw, radius=profile.neighbor_radius, adjacent=profile.adjacent_weight, keys=tuple(head))
+    grounded = projection.grounding(upper, memory.fact_refs(), raw, memory.media, radius=profile.neighbor_radius, adjacent=profile.adjacent_weight, keys=tuple(head))
     projected = projection.project(grounded, tuple(head)).select(*head, F.lit(LAYER_WEIGHT["fact"]).alias("weight"), "rank", F.col("ref").alias("node_id"))
     direct = lists.filter("layer = 'raw'").select(*head, F.lit(LAYER_WEIGHT["raw"]).alias("weight"), "rank", "node_id")
     groups = lists.filter("layer = 'collection'").select(*head, F.lit(LAYER_WEIGHT["collection"]).alias("weight"), "rank", "node_id")
@@ -128,14 +147,21 @@ def channels(plans: DataFrame, memory: Memory, profile: ExecutorProfile) -> tupl
 
 
 def member_facts(chosen: DataFrame, plans: DataFrame, memory: Memory, n: int) -> DataFrame:
-    """Best ``n`` member facts of each question's collection, by fused full lists."""
-    asked = plans.select("query_id", F.coalesce(F.col("plan")["rewritten_query"], F.lit("")).alias("text"))
-    pairs = chosen.select("query_id", F.col("node_id").alias("collection_id")).join(memory.facts.select("node_id", "collection_id"), "collection_id").select("query_id", "node_id")
+    """Best ``n`` member facts of each question's collection, by fused full lists.
+
+    Only members of a chosen collection are scored, and only for the questions that
+    chose it; term statistics are those of all facts.
+    """
+    homes = chosen.select("query_id", F.col("node_id").alias("collection_id"))
+    asked = plans.select("query_id", F.coalesce(F.col("plan")["rewritten_query"], F.lit("")).alias("text")).join(homes, "query_id")
+    members = memory.facts.select("node_id", "text", "collection_id").join(homes.select("collection_id").distinct(), "collection_id", "left_semi")
     terms = bm25.question_terms(asked)
     index = bm25.postings(memory.facts.select("node_id", "text"), "node_id", "text", vocabulary=terms)
-    sparse = bm25.score(index, terms).join(pairs, ["query_id", "node_id"], "left_semi")
-    own = memory.encode(asked, "query_id", "text").withColumnRenamed("vec", "_q")
-    near = pairs.join(own, "query_id").join(memory.encode(memory.facts.select("node_id", "text"), "node_id", "text"), "node_id").select("query_id", "node_id", dot("_q", "vec").alias("score"))
+    inside = index.join(members.select("node_id", "collection_id"), "node_id")
+    sparse = bm25.score(inside, terms.join(homes, "query_id"), ("collection_id",), stats=bm25.term_stats(index)).select("query_id", "node_id", "score")
+    own = memory.encode(asked, "query_id", "text").withColumnRenamed("vec", "_q").join(homes, "query_id")
+    vectors = memory.encode(members, "node_id", "text").join(members.select("node_id", "collection_id"), "node_id")
+    near = own.join(vectors, "collection_id").select("query_id", "node_id", dot("_q", "vec").alias("score"))
     lists = None
     for name, scored in (("0.dense", near), ("1.bm25", sparse)):
         one = full_ranks(scored, ["query_id"], "score", "node_id").select("query_id", F.lit(name).alias("channel"), F.lit(1.0).alias("weight"), "rank", "node_id")
@@ -143,6 +169,24 @@ def member_facts(chosen: DataFrame, plans: DataFrame, memory: Memory, n: int) ->
     return fusion.rrf(lists, k=n)
 
 
+def _expanded(chosen: DataFrame, plans: DataFrame, memory: Memory, profile: ExecutorProfile) -> tuple[DataFrame, DataFrame]:
+    """``(query_id, refs)`` of each collection node, and the turns ``(query_id, rank, ref)`` it puts in front."""
+    raw = memory.raw.select("ref", "session_id", "ordinal")
+    if profile.promote_refs:
+        if memory.collection_refs is None:
+            raise ContractViolation("the profile promotes what collections cite, but the memory has no collection references")
+        cited = chosen.join(memory.collection_refs, "node_id").groupBy("query_id", "ref").agg(F.min("pos").alias("_at"))
+        known = cut_lineage(cited.join(raw.select("ref"), "ref", "left_semi"))
+        promoted = top_k(known, ["query_id"], [F.col("_at"), F.col("ref")], None).select("query_id", "rank", "ref")
+    else:
+        best = cut_lineage(member_facts(chosen, plans, memory, profile.member_facts).select("query_id", "rank", "node_id"))
+        promoted = projection.project(projection.grounding(best, memory.fact_refs(), raw, memory.media, radius=profile.neighbor_radius, adjacent=profile.adjacent_weight))
+        cited = best.join(memory.fact_refs(), "node_id").groupBy("query_id", "ref").agg(F.min(F.struct("rank", "pos")).alias("_at"))
+    # A node's references go into one row, as everywhere else.
+    refs = cited.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "ref"))), lambda e: e["ref"]).alias("refs"))
+    return refs, cut_lineage(promoted)
+
+
 def execute(plans: DataFrame, memory: Memory, profile: ExecutorProfile = MULTI_PARTY) -> DataFrame:
     """``(query_id, slot, node_id)``: the packed context of every plan."""
     lists, groups = channels(plans, memory, profile)
@@ -153,11 +197,7 @@ def execute(plans: DataFrame, memory: Memory, profile: ExecutorProfile = MULTI_P
         edges = memory.facts.select(F.col("collection_id").alias("node_id"), F.explode("refer_ids").alias("ref")).distinct()
         found = fusion.consensus(found, edges, fused)
     chosen = cut_lineage(found.filter("rank = 1").select("query_id", "node_id"))
-    best = cut_lineage(member_facts(chosen, plans, memory, profile.member_facts).select("query_id", "rank", "node_id"))
-    raw = memory.raw.select("ref", "session_id", "ordinal")
-    promoted = cut_lineage(projection.project(projection.grounding(best, memory.fact_refs(), raw, radius=profile.neighbor_radius, adjacent=profile.adjacent_weight)))
-    cited = best.join(memory.fact_refs(), "node_id").groupBy("query_id", "ref").agg(F.min(F.struct("rank", "pos")).alias("_at"))
-    refs = cited.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "ref"))), lambda e: e["ref"]).alias("refs"))
+    refs, promoted = _expanded(chosen, plans, memory, profile)
     node = chosen.join(refs, "query_id").select("query_id", F.lit(0).alias("part"), F.lit(0).alias("rank"), F.concat(F.lit("collection:"), "node_id").alias("node_id"), F.lit(True).alias("is_upper"), "refs")
 
     def turns(df: DataFrame, part: int) -> DataFrame:
