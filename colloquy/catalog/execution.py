@@ -8,7 +8,7 @@ from colloquy.catalog.provenance import q_items
 from colloquy.catalog.registry import query
 from colloquy.config import RoundLimits
 from colloquy.operators.dense import mean_vectors
-from colloquy.plans.executor import Memory, execute
+from colloquy.plans.executor import Answered, Memory, execute
 from colloquy.plans.iterate import iterate
 from colloquy.plans.routes import routes_text, unified_contract, validated_plan
 from colloquy.sources.encoders import hashed_vectors
@@ -76,8 +76,10 @@ def iterative_rounds(spark: SparkSession, d: str) -> DataFrame:
         )
         return open_rows.select("query_id", text.alias("model_output"))
 
+    answered = Answered()
+
     def run(p: DataFrame) -> DataFrame:
-        return execute(p, m).select("query_id", "slot", "node_id")
+        return execute(p, m, answered=answered).select("query_id", "slot", "node_id")
 
     out = iterate(questions, plans, run, decide, RoundLimits(3, (20, 6, 4), 20))
     return out.select(F.col("query_id").alias("item_id"), "rounds", "stop_reason", F.size("packed").alias("n_packed"))

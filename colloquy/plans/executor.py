@@ -115,6 +115,30 @@ def ranked_requests(work: DataFrame, memory: Memory, k: int) -> DataFrame:
     return out
 
 
+class Answered:
+    """Ranked lists kept over rounds: a request is answered once, whichever plan or round asks it again."""
+
+    KEYS = ("layer", "retriever", "request_id")
+
+    def __init__(self) -> None:
+        self._lists: DataFrame | None = None
+        self._known: DataFrame | None = None
+
+    def lists(self, work: DataFrame, memory: Memory, k: int) -> DataFrame:
+        """The lists of all requests so far, those of ``work`` among them; only new requests reach the corpus.
+
+        A request without hits is remembered as well.  Lists and requests are written
+        to the shared folder, so later rounds do not repeat earlier ones.
+        """
+        asked = work.select("query_id", *self.KEYS, "text")
+        fresh = cut_lineage(asked if self._known is None else asked.join(self._known, list(self.KEYS), "left_anti"))
+        found = cut_lineage(ranked_requests(fresh, memory, k))
+        named = fresh.select(*self.KEYS).distinct()
+        self._lists = found if self._lists is None else self._lists.unionByName(found)
+        self._known = named if self._known is None else self._known.unionByName(named)
+        return self._lists
+
+
 def _to_collections(hits: DataFrame, memory: Memory) -> DataFrame:
     """Visual hits summed per session collection."""
     homes = memory.raw.select(F.col("ref").alias("node_id"), F.col("session_id").alias("home"))
@@ -124,12 +148,12 @@ def _to_collections(hits: DataFrame, memory: Memory) -> DataFrame:
     return top_k(summed, ["query_id"], by_score("score", "_first"), None)
 
 
-def channels(plans: DataFrame, memory: Memory, profile: ExecutorProfile) -> tuple[DataFrame, DataFrame]:
+def channels(plans: DataFrame, memory: Memory, profile: ExecutorProfile, answered: Answered | None = None) -> tuple[DataFrame, DataFrame]:
     """Raw-layer lists (facts already projected) and collection lists."""
     # Ranked lists are a few dozen rows per question; each stage is written once
     # because several later steps read it.
     work = cut_lineage(work_items(plans, memory.question_images))
-    hits = ranked_requests(work, memory, profile.candidate_k)
+    hits = (answered or Answered()).lists(work, memory, profile.candidate_k)
     lists = work.drop("text").join(hits, ["layer", "retriever", "request_id"])
     dates = memory.raw.select(F.col("ref").alias("node_id"), "date")
     dated = memory.fact_refs().join(memory.raw.select("ref", "date"), "ref").filter("date IS NOT NULL")
@@ -187,9 +211,12 @@ def _expanded(chosen: DataFrame, plans: DataFrame, memory: Memory, profile: Exec
     return refs, cut_lineage(promoted)
 
 
-def execute(plans: DataFrame, memory: Memory, profile: ExecutorProfile = MULTI_PARTY) -> DataFrame:
-    """``(query_id, slot, node_id)``: the packed context of every plan."""
-    lists, groups = channels(plans, memory, profile)
+def execute(plans: DataFrame, memory: Memory, profile: ExecutorProfile = MULTI_PARTY, answered: Answered | None = None) -> DataFrame:
+    """``(query_id, slot, node_id)``: the packed context of every plan.
+
+    Rounds over one memory pass the same ``answered``, and repeat no request.
+    """
+    lists, groups = channels(plans, memory, profile, answered)
     lists = cut_lineage(lists)
     fused = cut_lineage(fusion.rrf(fusion.collapse_variants(lists)).select("query_id", "rank", F.col("node_id").alias("ref")))
     found = fusion.rrf(fusion.collapse_variants(groups)).select("query_id", "node_id", "rank", "score")

@@ -6,6 +6,7 @@ import pytest
 
 from colloquy.config import GALLERY, MULTI_PARTY
 from colloquy.errors import ContractViolation
+from colloquy.plans import executor
 from colloquy.plans.executor import Memory, execute
 from colloquy.plans.routes import validated_plan
 from colloquy.sources.encoders import hashed_vectors
@@ -56,6 +57,24 @@ def test_image_requests_use_the_question_image(spark, memory):
     assert context(spark, replace(shown, question_images=shown.question_images.limit(0)), plan, MULTI_PARTY)[0] == "a4"
 
 
+def test_rounds_ask_the_corpus_for_new_requests_only(spark, memory, monkeypatch):
+    """The second round repeats one request, for another question, and adds one."""
+    asked, plain = [], executor.ranked_requests
+    monkeypatch.setattr(executor, "ranked_requests", lambda work, *rest: (asked.append({(r.layer, r.retriever, r.text) for r in work.collect()}), plain(work, *rest))[1])
+
+    def plans(*rows):
+        made = [(i, q, False, '{"rewritten_query":"' + q + '","routes":[' + routes + "]}") for i, q, routes in rows]
+        return validated_plan(spark.createDataFrame(made, "query_id bigint, question string, has_image boolean, model_output string")).select("query_id", "plan")
+
+    words, facts = '{"layer":"raw","retrievers":["bm25"]}', '{"layer":"fact","retrievers":["bm25"]}'
+    rounds = [plans((1, "heron", words), (2, "zebra", words)), plans((2, "heron", words), (1, "zebra", words), (3, "yeast", facts))]
+    answered = executor.Answered()
+    got = [sorted(map(tuple, execute(p, memory, answered=answered).collect())) for p in rounds]
+    first, second = asked
+    assert {t for _, _, t in first} == {"heron", "zebra"} and {t for _, _, t in second} == {"yeast"}
+    assert got == [sorted(map(tuple, execute(p, memory).collect())) for p in rounds]
+
+
 def _two_numbers(spark):
     """Encoder of the image space that puts every text at the first axis."""
     from pyspark.sql import functions as F
