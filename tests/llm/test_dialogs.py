@@ -4,7 +4,6 @@ import random
 import re
 import zlib
 
-import pytest
 
 from colloquy.llm import dialogs
 from colloquy.llm.dialogs import END, audits, damaged, diagnosed, digest, node, repaired, walk
