@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.catalog.registry import query
 from colloquy.catalog.retrieval import _CENTROIDS
-from colloquy.catalog.sqlparts import assignment_sql, vector_topk_sql
+from colloquy.catalog.sqlparts import assignment_sql
 from colloquy.config import BOUNDARY_FRAGMENTS
 from colloquy.functions.names import NON_NAMES
 from colloquy.operators import dense, fragments, graph, naming, speakers
-from colloquy.operators.ranking import by_score, top_k
 from colloquy.sources.tables import TURN_VECTORS_SQL, TURNS_SQL, table, turn_vectors, turns
 
 # The test vectors are nearly orthogonal, so the graph uses the matching threshold.

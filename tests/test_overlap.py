@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 import oracle
 from colloquy.operators import gallery, relations
