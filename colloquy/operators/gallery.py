@@ -8,6 +8,7 @@ from colloquy.functions.text import tokens
 from colloquy.operators.overlap import overlap_join
 from colloquy.operators.ranking import top_k
 from colloquy.plans.routes import COLLECTION, VISUAL
+from colloquy.session import cut_lineage
 
 SLOTS = 30
 # A request for all sets or for one species, a day.
@@ -91,9 +92,10 @@ def fuse(questions: DataFrame, base: DataFrame, ranked: DataFrame, sets: DataFra
     """
     asked = intents(questions)
     visual = asked.filter("visual")
-    chosen = chosen_sets(asked, ranked, sets, by_image)
+    # A few rows per question, read by many branches: written once.
+    chosen = cut_lineage(chosen_sets(asked, ranked, sets, by_image))
     held = chosen.join(sets.select("set_id", "image_ids", "refs"), "set_id")
-    images = held.select("query_id", F.explode("image_ids").alias("image_id")).unionByName(extra_images(asked, chosen, cards)).distinct()
+    images = cut_lineage(held.select("query_id", F.explode("image_ids").alias("image_id")).unionByName(extra_images(asked, chosen, cards)).distinct())
     from_sets = held.select("query_id", F.lit(0).alias("part"), F.col("place").cast("string").alias("a"), F.col("set_id").cast("string").alias("b"), F.posexplode(F.slice(F.array_distinct("refs"), 1, slots)).alias("i", "node_id"))
     from_cards = images.join(cards.select("image_id", "refs"), "image_id").select("query_id", F.lit(1).alias("part"), F.col("image_id").alias("a"), F.lit("").alias("b"), F.posexplode("refs").alias("i", "node_id"))
     found = from_sets.unionByName(from_cards).groupBy("query_id", "node_id").agg(F.min(F.struct("part", "a", "b", "i")).alias("at"))
