@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -9,7 +11,7 @@ from colloquy.operators.ranking import SCORE_DIGITS
 
 ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
 # Scores held at once per task.
-SCORE_BLOCK = 4 << 20
+SCORE_BLOCK = 1 << 20
 # Candidates that wait before they are sorted into the winners.
 COMPACT_AT = 200_000
 
@@ -19,6 +21,17 @@ def _codes(values: np.ndarray) -> np.ndarray:
     return values if values.dtype.kind in "iu" else np.unique(values, return_inverse=True)[1]
 
 
+def row_runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of whole rows whose sizes add up to ``limit`` at most, or of one larger row."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield start, stop
+        start = stop
+
+
 class LocalTopK:
     """Best ``k`` (question, node) pairs per question and optional group."""
 

@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.text import tokens
 from colloquy.operators.dense import unit_rows
+from colloquy.operators.local_topk import row_runs
 
 BUCKETS = 64
 TEXT_BATCH = 32
+# Tokens a task unrolls at once.
+TOKEN_BLOCK = 1 << 20
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -29,9 +32,11 @@ def _count_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         lists = batch.column(1)
         lengths = np.diff(lists.offsets.to_numpy())
-        rows = np.repeat(np.arange(len(lists)), lengths)
-        cells = rows * BUCKETS + lists.flatten().to_numpy(zero_copy_only=False)
-        counts = np.bincount(cells, minlength=len(lists) * BUCKETS).reshape(len(lists), BUCKETS).astype(np.float64)
+        counts = np.zeros((len(lists), BUCKETS))
+        for lo, hi in row_runs(lengths, TOKEN_BLOCK):
+            rows = np.repeat(np.arange(hi - lo), lengths[lo:hi])
+            cells = rows * BUCKETS + lists.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False)
+            counts[lo:hi] = np.bincount(cells, minlength=(hi - lo) * BUCKETS).reshape(hi - lo, BUCKETS)
         yield _with_vectors(batch, unit_rows(counts))
 
 
