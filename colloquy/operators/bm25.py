@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy.functions.text import tokens
-from colloquy.operators.local_topk import SCORE_BLOCK, LocalTopK
+from colloquy.operators.local_topk import SCORE_BLOCK, LocalTopK, row_runs
 from colloquy.operators.ranking import by_score, top_k
 from colloquy.session import cut_lineage
 
@@ -27,6 +27,9 @@ B = 0.75
 SENTINEL = ""
 # Question terms that travel to the tasks at once (tens of megabytes); more questions take more passes.
 SCAN_TERMS = 1_000_000
+# Tokens and (question, term) hits a task unrolls at once.
+TOKEN_BLOCK = 1 << 18
+HIT_BLOCK = 1 << 20
 
 
 def question_terms(queries: DataFrame, text: str = "text", keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -87,6 +90,23 @@ def term_stats(index: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return stats.withColumn("idf", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
+def document_stats(corpus: DataFrame, node: str, text: str) -> DataFrame:
+    """``term_stats`` of all terms of ``postings(corpus, node, text)``, without shuffling the postings.
+
+    Rows of one node and length are one document; their distinct tokens meet once,
+    and terms are counted inside the tasks.
+    """
+    words = corpus.select(F.col(node).alias("node_id"), tokens(text).alias("_t")).filter("_t IS NOT NULL")
+    one = words.groupBy("node_id", F.size("_t").alias("dl")).agg(F.array_distinct(F.flatten(F.collect_set(F.array_distinct("_t")))).alias("_t"), F.count("*").alias("_n"))
+    both = F.concat("_t", F.array(F.lit(SENTINEL)))
+    flat = one.select("dl", "_n", F.explode(both).alias("term"))
+    sentinel = F.col("term") == SENTINEL
+    counts = cut_lineage(flat.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(sentinel, F.col("_n"))).alias("n_docs"), F.avg(F.when(sentinel, F.col("dl"))).alias("avgdl")))
+    totals = counts.filter(sentinel).agg(F.struct(F.max("n_docs").alias("n_docs"), F.max("avgdl").alias("avgdl"))).scalar()
+    stats = counts.select("term", "df").withColumn("_t", totals).select("term", "df", "_t.n_docs", "_t.avgdl")
+    return stats.withColumn("idf", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+
 def score(index: DataFrame, terms: DataFrame, scope: tuple[str, ...] = (), keys: tuple[str, ...] = ("query_id",), stats: DataFrame | None = None) -> DataFrame:
     """``(scope, keys, node_id, score)`` for every pair that shares a term.
 
@@ -125,7 +145,13 @@ class Weights:
         self.question = flat[:, 1]
 
     def scores(self, lists: pa.ListArray) -> np.ndarray:
-        """(documents x questions) BM25 for one block of token lists."""
+        """(documents x questions) BM25 for one block of token lists, some documents at a time."""
+        out = np.zeros((len(lists), len(self.names)))
+        for lo, hi in row_runs(np.diff(lists.offsets.to_numpy()), TOKEN_BLOCK):
+            out[lo:hi] = self._scores(lists.slice(lo, hi - lo))
+        return out
+
+    def _scores(self, lists: pa.ListArray) -> np.ndarray:
         n, v = len(lists), len(self.vocabulary)
         dl = np.diff(lists.offsets.to_numpy())
         codes = pc.fill_null(pc.index_in(lists.flatten(), value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False)
@@ -136,13 +162,20 @@ class Weights:
         return self.by_question(row, term, tf, dl[row], n)
 
     def by_question(self, row: np.ndarray, term: np.ndarray, tf: np.ndarray, dl: np.ndarray, n: int) -> np.ndarray:
-        """Add the hits of (row, term) cells up per row and question."""
+        """Add the hits of (row, term) cells up per row and question; rows ascend."""
         m = len(self.names)
+        out = np.zeros((n, m))
         hit = self.idf[term] * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dl / self.avgdl))
         times = self.start[term + 1] - self.start[term]
-        first = np.repeat(self.start[term] - np.cumsum(times) + times, times)
-        asked = self.question[first + np.arange(times.sum())]
-        return np.bincount(np.repeat(row, times) * m + asked, weights=np.repeat(hit, times), minlength=n * m).reshape(n, m)
+        # Whole rows only, so a sum is added up in the same order whatever the block.
+        for lo, hi in row_runs(np.bincount(row, weights=times, minlength=n), HIT_BLOCK):
+            part = slice(*np.searchsorted(row, [lo, hi]))
+            t = times[part]
+            first = np.repeat(self.start[term[part]] - np.cumsum(t) + t, t)
+            asked = self.question[first + np.arange(len(first))]
+            cells = np.repeat((row[part] - lo) * m, t) + asked
+            out[lo:hi] = np.bincount(cells, weights=np.repeat(hit[part], t), minlength=(hi - lo) * m).reshape(hi - lo, m)
+        return out
 
 
 def corpus_stats(corpus: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
@@ -150,7 +183,9 @@ def corpus_stats(corpus: DataFrame, text: str, vocabulary: DataFrame) -> DataFra
     words = corpus.select(tokens(text).alias("_t"))
     flat = words.select(F.size("_t").alias("_n"), F.explode(F.concat(F.array_distinct("_t"), F.array(F.lit(SENTINEL)))).alias("term"))
     wanted = vocabulary.select("term").union(vocabulary.sparkSession.range(1).select(F.lit(SENTINEL))).distinct()
-    return flat.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("_n").alias("length"))
+    # Counted inside the tasks first, so that a term moves once per task and not once per document.
+    counts = flat.groupBy("term").agg(F.count("*").alias("df"), F.sum("_n").alias("length"))
+    return counts.join(wanted, "term", "left_semi")
 
 
 def load_weights(corpus: DataFrame, terms: DataFrame, text: str, keys: tuple[str, ...] = ("query_id",)) -> Weights:
