@@ -47,6 +47,15 @@ def test_scores_read_a_bounded_number_of_tokens():
     assert mb < 40
 
 
+def test_variants_of_a_question_are_scored_apart_and_in_blocks():
+    names = [f"w{i:02d}" for i in range(30)]
+    terms = pa.table({"query_id": [q for q in range(150) for _ in range(60)], "variant": ([0] * 30 + [1] * 30) * 150, "term": names * 300})
+    stats = pa.table({"term": [*names, bm25.SENTINEL], "df": [3] * 30 + [10], "length": [30] * 30 + [400]})
+    w = bm25.Weights(terms, stats, ("query_id", "variant"))
+    scores, mb = peak(lambda: w.scores(pa.array([names] * 1000)))
+    assert scores.shape == (1000, 300) and w.names[1] == (0, 1) and np.ptp(scores) < 1e-9 and mb < 90
+
+
 def test_a_block_of_scores_is_small():
     assert SCORE_BLOCK * 8 <= 8 << 20
 
