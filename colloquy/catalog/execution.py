@@ -11,16 +11,18 @@ from colloquy.operators.dense import mean_vectors
 from colloquy.plans.executor import Answered, Memory, execute
 from colloquy.plans.iterate import iterate
 from colloquy.plans.routes import routes_text, unified_contract, validated_plan
+from colloquy.session import cut_lineage
 from colloquy.sources.encoders import hashed_vectors
 from colloquy.sources.tables import facts, turn_vectors, turns
 
 
 def memory(spark: SparkSession, d: str) -> Memory:
+    """Turns and facts are written once: every layer, lookup and round reads them."""
     day = F.format_string("2024-01-%02d", 1 + F.pmod("conv_id", F.lit(5)))
-    t = turns(spark, d).select("ref", "text", "session_id", "ordinal", day.alias("date"))
-    f = facts(spark, d).select("node_id", "text", F.col("session_id").alias("collection_id"), "refer_ids")
+    t = cut_lineage(turns(spark, d).select("ref", "text", "session_id", "ordinal", day.alias("date")))
+    f = cut_lineage(facts(spark, d).select("node_id", "text", F.col("session_id").alias("collection_id"), "refer_ids"))
     vectors = hashed_vectors(f, "node_id", "text").join(f.select("node_id", "collection_id"), "node_id")
-    sessions = t.select(F.col("session_id").alias("node_id"), "date").distinct()
+    sessions = cut_lineage(t.select(F.col("session_id").alias("node_id"), "date").distinct())
     # Every fourth turn shows an image: its caption repeats the turn's start, its vector comes from the vector table.
     shown = F.pmod("ordinal", F.lit(4)) == 0
     captions = t.filter(shown).select("ref", F.concat(F.lit("a picture of "), F.substring("text", 1, 80)).alias("text"))

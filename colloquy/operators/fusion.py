@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from colloquy.config import RRF_K
+from colloquy.operators.lookup import fetch
 from colloquy.operators.ranking import by_score, top_k
 from colloquy.session import cut_lineage
 
@@ -79,8 +80,7 @@ def consensus(
     """
     collections = cut_lineage(collections)
     overlap = (
-        evidence.select(*keys, F.col("rank").alias("hit"), "ref")
-        .join(members.select("node_id", "ref"), "ref")
+        fetch(evidence.select(*keys, F.col("rank").alias("hit"), "ref"), members.select("node_id", "ref"), "ref")
         .join(collections.select(*keys, "node_id"), [*keys, "node_id"], "left_semi")
         .select(*keys, "node_id", "hit")
         .distinct()

@@ -17,7 +17,11 @@ def fetch(listed: DataFrame, corpus: DataFrame, *keys: str) -> DataFrame:
     only read; for a longer one the distinct keys first reduce the corpus to the
     rows that are needed, and those are shuffled.
     """
-    held = cut_lineage(listed)
+    return lookup(cut_lineage(listed), corpus, *keys)
+
+
+def lookup(held: DataFrame, corpus: DataFrame, *keys: str) -> DataFrame:
+    """``fetch`` for a list that is already written."""
     if held.count() <= BROADCAST_ROWS:
         return corpus.join(F.broadcast(held), list(keys))
     return held.join(corpus.join(held.select(*keys).distinct(), list(keys), "left_semi"), list(keys))

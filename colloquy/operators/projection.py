@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy.config import RRF_K
+from colloquy.operators.lookup import fetch, lookup
 from colloquy.operators.ranking import by_score, top_k
 from colloquy.session import cut_lineage
 
@@ -22,10 +23,12 @@ def grounding(
 
     ``upper(keys, rank, node_id)``; ``refs(node_id, pos, ref)``; ``raw(ref,
     session_id, ordinal)``; ``media(node_id, ref)``.  Neighbours are an equi-join
-    on the shifted ordinal.
+    on the shifted ordinal.  The lists look up the memory, which is never shuffled
+    for them.
     """
+    upper = cut_lineage(upper)
     # Depth times references per question, read by both branches: written once.
-    cited = cut_lineage(upper.join(refs, "node_id").join(raw, "ref").select(*keys, "rank", "node_id", "ref", "session_id", "ordinal"))
+    cited = cut_lineage(fetch(lookup(upper, refs, "node_id"), raw, "ref").select(*keys, "rank", "node_id", "ref", "session_id", "ordinal"))
     direct = cited.select(*keys, "rank", "node_id", "ref", F.lit(1.0).alias("weight"), F.lit(0).alias("_r"), F.lit("direct").alias("relation"))
     found = direct
     if media is not None:
@@ -35,9 +38,9 @@ def grounding(
         found = found.unionByName(linked)
     if radius > 0:
         shifts = [d for d in range(-radius, radius + 1) if d]
+        beside = cited.select(*keys, "rank", "node_id", "session_id", F.explode(F.array(*[F.col("ordinal") + d for d in shifts])).alias("ordinal"))
         near = (
-            cited.select(*keys, "rank", "node_id", "session_id", F.explode(F.array(*[F.col("ordinal") + d for d in shifts])).alias("ordinal"))
-            .join(raw, ["session_id", "ordinal"])
+            fetch(beside, raw, "session_id", "ordinal")
             .select(*keys, "rank", "node_id", "ref", F.lit(float(adjacent)).alias("weight"), F.lit(2).alias("_r"), F.lit("adjacent").alias("relation"))
         )
         found = found.unionByName(near)

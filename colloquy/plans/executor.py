@@ -12,6 +12,7 @@ from colloquy.errors import ContractViolation
 from colloquy.functions.vectors import dot
 from colloquy.operators import bm25, dense, fusion, projection
 from colloquy.operators.context import fail_open_date
+from colloquy.operators.lookup import fetch, lookup
 from colloquy.operators.packing import pack_context
 from colloquy.operators.ranking import by_score, full_ranks, top_k
 from colloquy.session import cut_lineage
@@ -123,6 +124,13 @@ class Answered:
     def __init__(self) -> None:
         self._lists: DataFrame | None = None
         self._known: DataFrame | None = None
+        self._stats: DataFrame | None = None
+
+    def fact_stats(self, memory: Memory) -> DataFrame:
+        """Term statistics of all facts, counted in one pass for all rounds."""
+        if self._stats is None:
+            self._stats = cut_lineage(bm25.document_stats(memory.facts, "node_id", "text"))
+        return self._stats
 
     def lists(self, work: DataFrame, memory: Memory, k: int) -> DataFrame:
         """The lists of all requests so far, those of ``work`` among them; only new requests reach the corpus.
@@ -142,24 +150,30 @@ class Answered:
 def _to_collections(hits: DataFrame, memory: Memory) -> DataFrame:
     """Visual hits summed per session collection."""
     homes = memory.raw.select(F.col("ref").alias("node_id"), F.col("session_id").alias("home"))
-    summed = hits.join(homes, "node_id").groupBy("query_id", F.col("home").alias("node_id")).agg(
+    summed = fetch(hits, homes, "node_id").groupBy("query_id", F.col("home").alias("node_id")).agg(
         F.aggregate(F.array_sort(F.collect_list("rank")), F.lit(0.0), lambda s, r: s + F.lit(1.0) / (60 + r)).alias("score"), F.min("rank").alias("_first")
     )
     return top_k(summed, ["query_id"], by_score("score", "_first"), None)
 
 
+def _dates(lists: DataFrame, memory: Memory) -> DataFrame:
+    """``(node_id, date)`` of the listed nodes; a fact has the date of the first dated turn it cites."""
+    listed = cut_lineage(lists.select("node_id").distinct())
+    raw = lookup(listed, memory.raw.select(F.col("ref").alias("node_id"), "date"), "node_id")
+    dated = fetch(lookup(listed, memory.fact_refs(), "node_id"), memory.raw.select("ref", "date"), "ref").filter("date IS NOT NULL")
+    facts = dated.groupBy("node_id").agg(F.min_by("date", "pos").alias("date"))
+    groups = lookup(listed, memory.collection_dates.select("node_id", "date"), "node_id")
+    return raw.select("node_id", "date").unionByName(facts).unionByName(groups.select("node_id", "date"))
+
+
 def channels(plans: DataFrame, memory: Memory, profile: ExecutorProfile, answered: Answered | None = None) -> tuple[DataFrame, DataFrame]:
     """Raw-layer lists (facts already projected) and collection lists."""
     # Ranked lists are a few dozen rows per question; each stage is written once
     # because several later steps read it.
     work = cut_lineage(work_items(plans, memory.question_images))
     hits = (answered or Answered()).lists(work, memory, profile.candidate_k)
-    lists = work.drop("text").join(hits, ["layer", "retriever", "request_id"])
-    dates = memory.raw.select(F.col("ref").alias("node_id"), "date")
-    dated = memory.fact_refs().join(memory.raw.select("ref", "date"), "ref").filter("date IS NOT NULL")
-    fact_dates = dated.groupBy("node_id").agg(F.min_by("date", "pos").alias("date"))
-    dates = dates.unionByName(fact_dates).unionByName(memory.collection_dates.select("node_id", "date"))
-    lists = cut_lineage(fail_open_date(cut_lineage(lists).join(dates, "node_id", "left"), ["query_id", "channel", "variant"]))
+    lists = cut_lineage(work.drop("text").join(hits, ["layer", "retriever", "request_id"]))
+    lists = cut_lineage(fail_open_date(lists.join(_dates(lists, memory), "node_id", "left"), ["query_id", "channel", "variant"]))
     head = ["query_id", "channel", "variant"]
     raw = memory.raw.select("ref", "session_id", "ordinal")
     upper = lists.filter("layer = 'fact'").select(*head, "rank", "node_id")
@@ -170,19 +184,23 @@ def channels(plans: DataFrame, memory: Memory, profile: ExecutorProfile, answere
     return direct.unionByName(projected), groups
 
 
-def member_facts(chosen: DataFrame, plans: DataFrame, memory: Memory, n: int) -> DataFrame:
+def member_facts(chosen: DataFrame, plans: DataFrame, memory: Memory, n: int, stats: DataFrame | None = None) -> DataFrame:
     """Best ``n`` member facts of each question's collection, by fused full lists.
 
-    Only members of a chosen collection are scored, and only for the questions that
-    chose it; term statistics are those of all facts.
+    Only members of a chosen collection are indexed and scored, and only for the
+    questions that chose it; term statistics are those of all facts.
     """
     homes = chosen.select("query_id", F.col("node_id").alias("collection_id"))
     asked = plans.select("query_id", F.coalesce(F.col("plan")["rewritten_query"], F.lit("")).alias("text")).join(homes, "query_id")
-    members = memory.facts.select("node_id", "text", "collection_id").join(homes.select("collection_id").distinct(), "collection_id", "left_semi")
+    members = cut_lineage(fetch(homes.select("collection_id").distinct(), memory.facts.select("node_id", "text", "collection_id"), "collection_id"))
     terms = bm25.question_terms(asked)
-    index = bm25.postings(memory.facts.select("node_id", "text"), "node_id", "text", vocabulary=terms)
+    if stats is None:
+        stats = bm25.document_stats(memory.facts, "node_id", "text")
+    # A node counts all its rows, those in other collections among them.
+    own_rows = fetch(members.select("node_id").distinct(), memory.facts.select("node_id", "text"), "node_id")
+    index = bm25.postings(own_rows, "node_id", "text", vocabulary=terms)
     inside = index.join(members.select("node_id", "collection_id"), "node_id")
-    sparse = bm25.score(inside, terms.join(homes, "query_id"), ("collection_id",), stats=bm25.term_stats(index)).select("query_id", "node_id", "score")
+    sparse = bm25.score(inside, terms.join(homes, "query_id"), ("collection_id",), stats=stats).select("query_id", "node_id", "score")
     own = memory.encode(asked, "query_id", "text").withColumnRenamed("vec", "_q").join(homes, "query_id")
     vectors = memory.encode(members, "node_id", "text").join(members.select("node_id", "collection_id"), "node_id")
     near = own.join(vectors, "collection_id").select("query_id", "node_id", dot("_q", "vec").alias("score"))
@@ -193,7 +211,7 @@ def member_facts(chosen: DataFrame, plans: DataFrame, memory: Memory, n: int) ->
     return fusion.rrf(lists, k=n)
 
 
-def _expanded(chosen: DataFrame, plans: DataFrame, memory: Memory, profile: ExecutorProfile) -> tuple[DataFrame, DataFrame]:
+def _expanded(chosen: DataFrame, plans: DataFrame, memory: Memory, profile: ExecutorProfile, answered: Answered) -> tuple[DataFrame, DataFrame]:
     """``(query_id, refs)`` of each collection node, and the turns ``(query_id, rank, ref)`` it puts in front."""
     raw = memory.raw.select("ref", "session_id", "ordinal")
     if profile.promote_refs:
@@ -203,9 +221,9 @@ def _expanded(chosen: DataFrame, plans: DataFrame, memory: Memory, profile: Exec
         known = cut_lineage(cited.join(raw.select("ref"), "ref", "left_semi"))
         promoted = top_k(known, ["query_id"], [F.col("_at"), F.col("ref")], None).select("query_id", "rank", "ref")
     else:
-        best = cut_lineage(member_facts(chosen, plans, memory, profile.member_facts).select("query_id", "rank", "node_id"))
+        best = cut_lineage(member_facts(chosen, plans, memory, profile.member_facts, answered.fact_stats(memory)).select("query_id", "rank", "node_id"))
         promoted = projection.project(projection.grounding(best, memory.fact_refs(), raw, memory.media, radius=profile.neighbor_radius, adjacent=profile.adjacent_weight))
-        cited = best.join(memory.fact_refs(), "node_id").groupBy("query_id", "ref").agg(F.min(F.struct("rank", "pos")).alias("_at"))
+        cited = lookup(best, memory.fact_refs(), "node_id").groupBy("query_id", "ref").agg(F.min(F.struct("rank", "pos")).alias("_at"))
     # A node's references go into one row, as everywhere else.
     refs = cited.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "ref"))), lambda e: e["ref"]).alias("refs"))
     return refs, cut_lineage(promoted)
@@ -216,15 +234,16 @@ def execute(plans: DataFrame, memory: Memory, profile: ExecutorProfile = MULTI_P
 
     Rounds over one memory pass the same ``answered``, and repeat no request.
     """
+    answered = answered or Answered()
     lists, groups = channels(plans, memory, profile, answered)
     lists = cut_lineage(lists)
     fused = cut_lineage(fusion.rrf(fusion.collapse_variants(lists)).select("query_id", "rank", F.col("node_id").alias("ref")))
     found = fusion.rrf(fusion.collapse_variants(groups)).select("query_id", "node_id", "rank", "score")
     if profile.consensus:
-        edges = memory.facts.select(F.col("collection_id").alias("node_id"), F.explode("refer_ids").alias("ref")).distinct()
+        edges = memory.facts.select(F.col("collection_id").alias("node_id"), F.explode("refer_ids").alias("ref"))
         found = fusion.consensus(found, edges, fused)
     chosen = cut_lineage(found.filter("rank = 1").select("query_id", "node_id"))
-    refs, promoted = _expanded(chosen, plans, memory, profile)
+    refs, promoted = _expanded(chosen, plans, memory, profile, answered)
     node = chosen.join(refs, "query_id").select("query_id", F.lit(0).alias("part"), F.lit(0).alias("rank"), F.concat(F.lit("collection:"), "node_id").alias("node_id"), F.lit(True).alias("is_upper"), "refs")
 
     def turns(df: DataFrame, part: int) -> DataFrame:
@@ -246,9 +265,9 @@ def execute(plans: DataFrame, memory: Memory, profile: ExecutorProfile = MULTI_P
     tagged = candidates.join(style, "query_id")
     packed = pack_context(tagged.filter("_packed"), profile.top_k)
     plain = tagged.filter(~F.col("_packed") & (F.col("idx") <= profile.top_k)).select("query_id", F.col("idx").alias("slot"), "node_id")
-    context = packed.unionByName(plain)
+    context = cut_lineage(packed.unionByName(plain))
     by_time = style.join(node.select("query_id"), "query_id", "left_anti").filter("_sort = 'time'").select("query_id", F.lit(True).alias("_time"))
-    info = memory.raw.select(F.col("ref").alias("node_id"), "date", "ordinal")
+    info = fetch(context.select("node_id").distinct(), memory.raw.select(F.col("ref").alias("node_id"), "date", "ordinal"), "node_id")
     timed = context.join(by_time, "query_id", "left").join(info, "node_id", "left")
     chronological = F.coalesce(F.col("_time"), F.lit(False))
     order = [F.when(chronological, F.coalesce("date", F.lit(""))), F.when(chronological, F.coalesce("ordinal", F.lit(0))), F.col("slot")]

@@ -17,7 +17,8 @@ Decide = Callable[[DataFrame, int], DataFrame]
 
 def _ids(context: DataFrame, name: str) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("slot", "node_id"))), lambda e: e["node_id"])
-    return context.groupBy("query_id").agg(ordered.alias(name))
+    # Written by itself, so that the merge of the rounds is planned over short rows only.
+    return cut_lineage(context.groupBy("query_id").agg(ordered.alias(name)))
 
 
 def iterate(questions: DataFrame, plans: DataFrame, execute: Execute, decide: Decide, limits: RoundLimits = RoundLimits()) -> DataFrame:
