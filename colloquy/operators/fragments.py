@@ -38,7 +38,8 @@ def cluster_summary(counts: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def pair_evidence(counts: DataFrame, sizes: DataFrame, policy: FragmentPolicy = FragmentPolicy()) -> DataFrame:
     """Directed evidence between the clusters of a case."""
-    stats = pair_statistics(counts.filter("src <> dst"), policy.top_pairs)
+    # One row per cluster pair, read in both directions: the counts are ranked once.
+    stats = cut_lineage(pair_statistics(counts.filter("src <> dst"), policy.top_pairs))
     both = stats.unionByName(stats.withColumn("_s", F.col("src")).withColumn("src", F.col("dst")).withColumn("dst", F.col("_s")).drop("_s"))
     info = cluster_summary(counts, sizes)
     for side, name in (("src", "source"), ("dst", "target")):
@@ -69,7 +70,8 @@ def _score() -> Column:
 def links(evidence: DataFrame, policy: FragmentPolicy = FragmentPolicy()) -> DataFrame:
     """Best target of every smaller side with the reasons against merging."""
     scored = evidence.withColumn("score", _score())
-    ranked = top_k(scored, ["case_id", "src"], [F.col("score").desc(), F.col("dst").desc()], 2)
+    # Two rows per cluster, read three times.
+    ranked = cut_lineage(top_k(scored, ["case_id", "src"], [F.col("score").desc(), F.col("dst").desc()], 2))
     best = ranked.filter("rank = 1").drop("rank")
     second = ranked.filter("rank = 2").select("case_id", "src", F.col("score").alias("runner"))
     back = best.select("case_id", F.col("src").alias("dst"), F.col("dst").alias("_back"))
@@ -99,7 +101,8 @@ def reconcile(counts: DataFrame, sizes: DataFrame, policy: FragmentPolicy = Frag
 
     Cosine counts add up under relabelling, so a merge is a regrouping and no
     vector is read again.  Cases proceed side by side until none has a link left;
-    every merge leaves one cluster less, so this ends.
+    every merge leaves one cluster less, so this ends.  A case without a link gets
+    none later, so its counts are not carried into the next pass.
     """
     mapping = cut_lineage(sizes.select("case_id", "label").distinct().withColumn("final", F.col("label")))
     counts, sizes = cut_lineage(counts), cut_lineage(sizes)
@@ -116,9 +119,10 @@ def reconcile(counts: DataFrame, sizes: DataFrame, policy: FragmentPolicy = Frag
             j = df.join(renames.withColumnRenamed("_from", column), ["case_id", column], "left")
             return j.withColumn(column, F.coalesce("_to", column)).drop("_to")
 
+        active = chosen.select("case_id")
         mapping = cut_lineage(renamed(mapping, "final"))
-        moved = renamed(renamed(counts, "src"), "dst")
+        moved = renamed(renamed(counts.join(active, "case_id", "left_semi"), "src"), "dst")
         lo, hi = F.least("src", "dst"), F.greatest("src", "dst")
         counts = cut_lineage(moved.groupBy("case_id", lo.alias("src"), hi.alias("dst"), "value").agg(F.sum("n").alias("n")))
-        sizes = cut_lineage(renamed(sizes, "label").groupBy("case_id", "label", "session_id").agg(F.sum("n").alias("n")))
+        sizes = cut_lineage(renamed(sizes.join(active, "case_id", "left_semi"), "label").groupBy("case_id", "label", "session_id").agg(F.sum("n").alias("n")))
     return mapping

@@ -99,3 +99,26 @@ def test_rounds_look_the_memory_up_without_shuffling_it(spark):
         assert sorted((r.ref, r.relation) for r in found.collect()) == [("r6", "adjacent"), ("r7", "direct"), ("r8", "adjacent")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_finished_cases_are_not_read_again(spark, monkeypatch):
+    from colloquy.config import FragmentPolicy
+    from colloquy.operators import fragments
+
+    read = []
+    plain = fragments.pair_evidence
+
+    def watched(counts, sizes, policy):
+        read.append(({r.case_id for r in counts.select("case_id").distinct().collect()}, {r.case_id for r in sizes.select("case_id").distinct().collect()}))
+        return plain(counts, sizes, policy)
+
+    monkeypatch.setattr(fragments, "pair_evidence", watched)
+    counts = [("C", "A", "A", 1.0, 45), ("C", "B", "B", 1.0, 45), ("C", "F", "F", 1.0, 3), ("C", "A", "F", 0.95, 30), ("C", "B", "F", 0.1, 30), ("C", "A", "B", 0.05, 100)]
+    counts += [("D", "A", "A", 1.0, 45), ("D", "B", "B", 1.0, 45), ("D", "A", "B", 0.05, 100)]
+    sizes = [("C", "A", "S0", 10), ("C", "B", "S0", 10), ("C", "F", "S0", 3), ("D", "A", "S0", 10), ("D", "B", "S0", 10)]
+    got = fragments.reconcile(
+        spark.createDataFrame(counts, "case_id string, src string, dst string, value double, n bigint"),
+        spark.createDataFrame(sizes, "case_id string, label string, session_id string, n bigint"), FragmentPolicy(),
+    )
+    assert {(r.case_id, r.label): r.final for r in got.collect()} == {("C", "A"): "MERGED_001", ("C", "F"): "MERGED_001", ("C", "B"): "B", ("D", "A"): "A", ("D", "B"): "B"}
+    assert read == [({"C", "D"}, {"C", "D"}), ({"C"}, {"C"})]
